@@ -3,16 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetgauge.llm import compression_bands
+from fleetgauge.llm import compression_bands, flow_reshard
 from fleetgauge.llm.common import table
 
 
+def op2_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 24 shards by the hash of the source (a hot source makes one of them very large) to 40 of near equal bytes."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.pmod(F.xxhash64("source"), F.lit(24)).cast("int").alias("old_shard"))
+    placed, _ = flow_reshard.assign(rows, "size", "old_shard", 24, 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands.judge(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_flow_reshard": op2_flow_reshard,
     "op6_compression_bands": op6_compression_bands,
 }
 ORACLES: dict[str, str] = {}

@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import compression_bands, flow_reshard
+from fleetgauge.llm import compression_bands, cuckoo_lines, flow_reshard
 from fleetgauge.llm.common import table
 
 
+def op1_cuckoo_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return cuckoo_lines.dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP1_SQL = r"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM split),
+keyed AS (SELECT doc_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+frequent AS (SELECT k, max(doc_id) AS last FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+marked AS (SELECT keyed.*, frequent.last IS NOT NULL AND keyed.doc_id <> frequent.last AS gone FROM keyed LEFT JOIN frequent ON keyed.k = frequent.k)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
 def op2_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From 24 shards by the hash of the source (a hot source makes one of them very large) to 40 of near equal bytes."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -22,7 +39,10 @@ def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_cuckoo_lines": op1_cuckoo_lines,
     "op2_flow_reshard": op2_flow_reshard,
     "op6_compression_bands": op6_compression_bands,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_cuckoo_lines": OP1_SQL,
+}

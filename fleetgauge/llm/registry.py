@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import compression_bands, cuckoo_lines, flow_reshard
+from fleetgauge.llm import compression_bands, cuckoo_lines, flow_reshard, lz_spans
 from fleetgauge.llm.common import table
 
 
@@ -38,9 +38,15 @@ def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_lz_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lz_spans.dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_cuckoo_lines": op1_cuckoo_lines,
     "op2_flow_reshard": op2_flow_reshard,
+    "op8_lz_spans": op8_lz_spans,
     "op6_compression_bands": op6_compression_bands,
 }
 ORACLES: dict[str, str] = {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import compression_bands, cuckoo_lines, flow_reshard, lz_spans
+from fleetgauge.llm import bag_minhash, compression_bands, cuckoo_lines, flow_reshard, lz_spans
 from fleetgauge.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op2_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op3_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_minhash.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands.judge(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op8_lz_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_cuckoo_lines": op1_cuckoo_lines,
     "op2_flow_reshard": op2_flow_reshard,
+    "op3_bag_minhash": op3_bag_minhash,
     "op8_lz_spans": op8_lz_spans,
     "op6_compression_bands": op6_compression_bands,
 }

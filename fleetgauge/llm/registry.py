@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import bag_minhash, compression_bands, cuckoo_lines, flow_reshard, lz_spans
+from fleetgauge.llm import bag_minhash, compression_bands, cuckoo_lines, flow_reshard, kk_pack, lz_spans
 from fleetgauge.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op3_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bag_minhash.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_kk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kk_pack.sequences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands.judge(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op1_cuckoo_lines": op1_cuckoo_lines,
     "op2_flow_reshard": op2_flow_reshard,
     "op3_bag_minhash": op3_bag_minhash,
+    "op5_kk_pack": op5_kk_pack,
     "op8_lz_spans": op8_lz_spans,
     "op6_compression_bands": op6_compression_bands,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import bag_minhash, compression_bands, cuckoo_lines, flow_reshard, kk_pack, lz_spans
+from fleetgauge.llm import bag_minhash, compression_bands, cuckoo_lines, feistel_order, flow_reshard, kk_pack, lz_spans
 from fleetgauge.llm.common import table
 
 
@@ -51,12 +51,17 @@ def op8_lz_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_spans.dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
 
 
+def op10_feistel_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feistel_order.ordered(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_cuckoo_lines": op1_cuckoo_lines,
     "op2_flow_reshard": op2_flow_reshard,
     "op3_bag_minhash": op3_bag_minhash,
     "op5_kk_pack": op5_kk_pack,
     "op8_lz_spans": op8_lz_spans,
+    "op10_feistel_order": op10_feistel_order,
     "op6_compression_bands": op6_compression_bands,
 }
 ORACLES: dict[str, str] = {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import bag_minhash, compression_bands, cuckoo_lines, feistel_order, flow_reshard, kk_pack, lz_spans
+from fleetgauge.llm import bag_minhash, compression_bands, cuckoo_lines, feistel_order, flow_reshard, kk_pack, lz_spans, qgram_leaks
 from fleetgauge.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_qgram_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qgram_leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_lz_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lz_spans.dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
@@ -60,6 +64,7 @@ QUERIES = {
     "op2_flow_reshard": op2_flow_reshard,
     "op3_bag_minhash": op3_bag_minhash,
     "op5_kk_pack": op5_kk_pack,
+    "op7_qgram_leaks": op7_qgram_leaks,
     "op8_lz_spans": op8_lz_spans,
     "op10_feistel_order": op10_feistel_order,
     "op6_compression_bands": op6_compression_bands,

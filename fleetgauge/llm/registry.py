@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import bag_minhash, compression_bands, cuckoo_lines, feistel_order, flow_reshard, kk_pack, lz_spans, qgram_leaks
+from fleetgauge.llm import bag_minhash, compression_bands, cuckoo_lines, feistel_order, flow_reshard, kk_pack, lz_spans, qgram_leaks, site_templates
 from fleetgauge.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op3_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bag_minhash.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_templates.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_kk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kk_pack.sequences(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op1_cuckoo_lines": op1_cuckoo_lines,
     "op2_flow_reshard": op2_flow_reshard,
     "op3_bag_minhash": op3_bag_minhash,
+    "op4_site_templates": op4_site_templates,
     "op5_kk_pack": op5_kk_pack,
     "op7_qgram_leaks": op7_qgram_leaks,
     "op8_lz_spans": op8_lz_spans,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import bag_minhash, compression_bands, cuckoo_lines, feistel_order, flow_reshard, kk_pack, lz_spans, qgram_leaks, site_templates
+from fleetgauge.llm import bag_minhash, compression_bands, cuckoo_lines, feistel_order, flow_reshard, kk_pack, license_scan, lz_spans, qgram_leaks, site_templates
 from fleetgauge.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op8_lz_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_spans.dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_feistel_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_order.ordered(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op5_kk_pack": op5_kk_pack,
     "op7_qgram_leaks": op7_qgram_leaks,
     "op8_lz_spans": op8_lz_spans,
+    "op9_license_scan": op9_license_scan,
     "op10_feistel_order": op10_feistel_order,
     "op6_compression_bands": op6_compression_bands,
 }

@@ -9,10 +9,10 @@ weight are discarded. A shingle of weight w costs about log2(w) processes. Point
 slots are very probably filled are not generated; documents with an empty slot double the bound.
 
 Signatures are banded. In each bucket the members are compared with leaders, each verified by exact multiset overlap:
-first one leader, then, in buckets whose members lie in more than one component, twice as many each round, until every
-pair of members in different components has been compared. Pairs inside a component need no comparison. So no link
-among the candidates is lost, a bucket of k like documents costs k comparisons, and one of k unlike ones all pairs,
-as it must. Rounds end at the latest when all members have led.
+first one leader, then, in buckets whose members lie in more than one component, sixteen times as many each round, until
+every pair of candidates in different components has been compared. Pairs inside a component need no comparison. So no
+link among the candidates is lost, and a bucket of k like documents costs k comparisons. Candidates share a band and
+agree in AGREE of all slots; a pair in several buckets is compared once.
 
 Cases: equal word sequences form one node before anything else, so copies of a text cost one row each. Texts without
 words (null, empty, punctuation) are alone in their class. Texts of one to four words have one shingle, the whole text.
@@ -43,12 +43,14 @@ GOLDEN = U(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class NearRules:
-    """At a similarity of 0.8 a pair shares no band with probability (1 - 0.8 ** 4) ** 20 < 0.00003."""
+    """At a similarity of 0.8 a pair shares no band with probability (1 - 0.8 ** 4) ** 20 < 0.00003, and agrees in less
+    than 48 of 80 slots with probability < 0.00003."""
 
     shingle: int = 5
     similarity: float = 0.8
     bands: int = 20
     rows: int = 4
+    agree: float = 0.6
 
 
 def words_of(text: str) -> list[bytes]:
@@ -131,8 +133,8 @@ def band_keys(sig: np.ndarray, rules: NearRules) -> np.ndarray:
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str, rules: NearRules) -> DataFrame:
-    """(doc, c, keys): content key and band keys of each row with words."""
-    schema = struct(("doc", docs.schema[id_col].dataType.simpleString()), ("c", "binary"), ("keys", "array<long>"))
+    """(doc, c, keys, sig, size): content key, band keys, 16 bits of each signature slot and weight of each row with words."""
+    schema = struct(("doc", docs.schema[id_col].dataType.simpleString()), ("c", "binary"), ("keys", "array<long>"), ("sig", "array<short>"), ("size", "long"))
 
     def run(batches):
         hashes = Words()
@@ -143,8 +145,11 @@ def signed(docs: DataFrame, id_col: str, text_col: str, rules: NearRules) -> Dat
                 has = [i for i, w in enumerate(texts) if w]
                 if not has:
                     continue
-                keys = band_keys(signatures([bag(texts[i], hashes, rules.shingle) for i in has], rules.bands * rules.rows), rules)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(has)), pa.array([content_key(texts[i]) for i in has], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], ["doc", "c", "keys"])
+                bags = [bag(texts[i], hashes, rules.shingle) for i in has]
+                sig = signatures(bags, rules.bands * rules.rows)
+                keys, slots = band_keys(sig, rules), (sig >> U(48)).astype(np.uint16).view(np.int16)
+                columns = [part.column(0).take(pa.array(has)), pa.array([content_key(texts[i]) for i in has], pa.binary()), pa.array(list(keys), pa.list_(pa.int64())), pa.array(list(slots), pa.list_(pa.int16())), pa.array([int(b[1].sum()) for b in bags], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "c", "keys", "sig", "size"])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
@@ -185,36 +190,51 @@ def verified(pairs: DataFrame, texts: DataFrame, rules: NearRules) -> DataFrame:
     return map_rows(both, ["a", "b", "ta", "tb"], check, struct(("a", "binary"), ("b", "binary")), setup)
 
 
-def links(docs: DataFrame, id_col: str, text_col: str, members: DataFrame, buckets: DataFrame, rules: NearRules) -> DataFrame:
-    """(a, b): each content key in a class of several, with the least of its class. buckets: (k, c), two or more c each."""
+def candidates(left: DataFrame, leaders: int, rules: NearRules) -> DataFrame:
+    """(a, b): members of open buckets, each with the leaders of other components in its bucket. A pair comes from the
+    first band in which it agrees only, and only if sizes and signatures allow the similarity. left: (k, n, c, h, label,
+    keys, sig, size); a bucket's leaders are its members with the least h, some `leaders` of them."""
+    names = ("c", "label", "h", "keys", "sig", "size")
+    lead = left.filter(F.col("h").cast("double") * F.col("n") < F.lit(float(leaders) * (1 << 40))).select("k", *(F.col(c).alias(f"{c}_b") for c in names))
+    first = F.array_intersect("keys", "keys_b")[0] == F.col("k")
+    sizes = F.least("size", "size_b") >= F.greatest("size", "size_b") * (rules.similarity - 1e-12)
+    equal = F.expr(f"aggregate(zip_with(sig, sig_b, (x, y) -> int(x = y)), 0, (s, v) -> s + v) >= {math.ceil(rules.agree * rules.bands * rules.rows)}")
+    lead = lead.withColumnRenamed("k", "kb")
+    once = (F.col("h") > F.col("h_b")) | (F.col("h").cast("double") * F.col("n") >= F.lit(float(leaders) * (1 << 40)))
+    member = left.select("k", "n", *names)
+    cond = (F.col("k") == F.col("kb")) & (F.col("label") != F.col("label_b")) & once & sizes & first & equal
+    return member.join(lead, cond).select(F.col("c").alias("a"), F.col("c_b").alias("b")).distinct()
+
+
+def links(docs: DataFrame, id_col: str, text_col: str, members: DataFrame, buckets: DataFrame, nodes: DataFrame, rules: NearRules) -> DataFrame:
+    """(a, b): each content key in a class of several, with the least of its class. buckets: (band, k, c), two or more c
+    for each k. nodes: (c, keys, sig, size)."""
     spark = docs.sparkSession
     texts = node_texts(docs, id_col, text_col, buckets.select("c").distinct(), members)
-    order = F.pmod(F.xxhash64("c"), F.lit(1 << 40))
-    sized = buckets.withColumn("h", order)
+    sized = buckets.withColumn("h", F.pmod(F.xxhash64("c"), F.lit(1 << 40)))
     groups = stored(sized.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("h", "c")).alias("lead")), "near-groups")
     most = groups.agg(F.max("n")).first()[0]
-    first = sized.join(groups, "k").filter(F.col("c") != F.col("lead")["c"]).select(F.col("c").alias("a"), F.col("lead")["c"].alias("b")).distinct()
-    tested = stored(first, "near-pairs")
+    led = sized.join(groups, "k").filter(F.col("c") != F.col("lead")["c"])
+    # a few bands join most of what belongs together, so that the other bands have little left to compare
+    tested = stored(led.filter(F.col("band") < 4).select(F.col("c").alias("a"), F.col("lead")["c"].alias("b")).distinct(), "near-pairs")
     e = stars(verified(tested, texts, rules))
-    leaders = 2
-    while leaders < 2 * most:  # in the last round all members lead
+    leaders = 1
+    while leaders < 16 * most:  # in the last round all members lead
         label = e.withColumnsRenamed({"a": "c", "b": "label"})
-        now = sized.join(groups.filter("n > 2").select("k", "n"), "k").join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))
-        mixed_groups = now.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter(F.col("lo") != F.col("hi")).select("k")
-        left = stored(now.join(mixed_groups, "k"), "near-open")
+        now = sized.select("k", "c", "h").join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))
+        open_groups = now.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter(F.col("lo") != F.col("hi")).select("k", "n")
+        left = stored(now.join(open_groups, "k").join(nodes, "c"), "near-open")
         if left.isEmpty():
+            discard(spark, left)
             break
-        lead = left.filter(F.col("h").cast("double") * F.col("n") < F.lit(float(leaders) * (1 << 40))).select("k", F.col("c").alias("b"), F.col("label").alias("lb"))
-        pairs = left.select("k", F.col("c").alias("a"), F.col("label").alias("la")).join(lead, "k").filter(F.col("la") != F.col("lb")).select("a", "b").distinct()
         seen = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # of a pair of two leaders one order is enough
-        pairs = pairs.join(seen, ["a", "b"], "left_anti").groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.first("a").alias("a"), F.first("b").alias("b")).select("a", "b")
-        pairs = stored(pairs, "near-pairs")
+        pairs = stored(candidates(left, leaders, rules).join(seen, ["a", "b"], "left_anti"), "near-pairs")
         if not pairs.isEmpty():
-            e = stars(e.unionByName(verified(pairs, texts, rules)))
-            tested = tested.unionByName(pairs)
+            new = stars(e.unionByName(verified(pairs, texts, rules)))
+            discard(spark, e)
+            e, tested = new, tested.unionByName(pairs)
         discard(spark, left)
-        leaders *= 4
+        leaders *= 16
     return e
 
 
@@ -223,14 +243,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     rules = rules or NearRules()
     rows = stored(signed(docs, id_col, text_col, rules), "near-signed")
     members = rows.select("doc", "c")
-    nodes = rows.groupBy("c").agg(F.first("keys").alias("keys"))
-    exploded = nodes.select("c", F.explode("keys").alias("k"))
+    nodes = rows.groupBy("c").agg(F.first(F.struct("keys", "sig", "size")).alias("s")).select("c", "s.*")
+    exploded = nodes.select("c", F.posexplode("keys").alias("band", "k"))
     many = exploded.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k")
-    buckets = stored(exploded.join(many, "k"), "near-buckets")
+    buckets = stored(exploded.join(many, "k").select("band", "k", "c"), "near-buckets")
     if buckets.isEmpty():
         labelled = members.withColumn("class_key", F.col("c"))
     else:
-        e = links(docs, id_col, text_col, members, buckets, rules)
+        e = links(docs, id_col, text_col, members, buckets, stored(nodes.join(buckets.select("c").distinct(), "c"), "near-nodes"), rules)
         labelled = members.join(e, members["c"] == e["a"], "left").select("doc", "c", F.coalesce("b", "c").alias("class_key"))
     ids = labelled.groupBy("class_key").agg(F.min("doc").alias("class_id"), F.count(F.lit(1)).alias("n_class"))
     return labelled.join(ids, "class_key").select(F.col("doc").alias(id_col), "class_id", "n_class", "class_key", "c")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -37,11 +38,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files behind a stored() table that nothing reads any more."""
-    for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete the files behind stored() tables that nothing reads any more, and the shuffle files of finished jobs."""
+    for f in {p.rsplit("/", 1)[0] for df in tables for p in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()  # Spark removes a shuffle when the driver's JVM has collected its plan
 
 
 def map_rows(df: DataFrame, columns: list[str], fn: Callable[..., Iterable[tuple]], schema: T.StructType, setup: Callable | None = None) -> DataFrame:

@@ -67,6 +67,31 @@ def op10_feistel_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_order.ordered(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+OP8_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+placed AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS pos FROM w WHERE len(ws) >= 50),
+k AS (SELECT doc_id, pos, sha256(array_to_string(ws[pos:pos + 49], ' ')) AS g FROM placed),
+m AS (SELECT doc_id, pos FROM k QUALIFY min(doc_id) OVER (PARTITION BY g) < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 50)) AS p FROM m),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+OP9_SQL = rf"""
+WITH named(template, text) AS (VALUES {", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in license_scan.TEMPLATES.items())}),
+tw AS (SELECT template, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS ws FROM named),
+tg AS (SELECT DISTINCT template, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT template, ws, unnest(range(1, len(ws) - 3)) AS i FROM tw WHERE len(ws) >= 5)),
+tn AS (SELECT template, count(*) AS n, CAST(2 ** ceil(log2(count(*))) AS BIGINT) AS step FROM tg GROUP BY template),
+dw AS (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), ' ') AS ws FROM documents),
+dg AS (SELECT doc_id, i - 1 AS i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM dw WHERE len(ws) >= 5)),
+hit AS (SELECT doc_id, template, n, step, i, g FROM dg JOIN tg USING (g) JOIN tn USING (template)),
+win AS (SELECT doc_id, template, n, i // step * step AS a, g FROM hit UNION ALL SELECT doc_id, template, n, i // step * step - step, g FROM hit WHERE i >= step),
+share AS (SELECT doc_id, template, a, count(DISTINCT g)::DOUBLE / any_value(n) AS s FROM win GROUP BY doc_id, template, a)
+SELECT doc_id, template, max(s) AS containment, min(a)::BIGINT AS first_word, count(*) AS n_windows FROM share WHERE s >= {license_scan.CONTAINMENT} GROUP BY doc_id, template
+"""
+
 QUERIES = {
     "op1_cuckoo_lines": op1_cuckoo_lines,
     "op2_flow_reshard": op2_flow_reshard,
@@ -81,4 +106,6 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_cuckoo_lines": OP1_SQL,
+    "op8_lz_spans": OP8_SQL,
+    "op9_license_scan": OP9_SQL,
 }

@@ -10,7 +10,8 @@ fit; a second flow then spreads the rest over what is left, so that sizes differ
 Scale: the driver sees the old shards' sizes, the bounded list of large rows and the arcs. Rows shuffle by
 (old shard, block), so an old shard with a third of all rows is still cut in N_BLOCKS. Cases: null ids and texts are
 ordinary rows; repeated rows are told apart by a row number that is stored before anything depends on it; an empty
-table gives an empty result; columns of the input named like ours are not read.
+table gives an empty result; if the input has
+a shard or slot of its own, ours get an underscore.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import fresh_path, stored
+from fleetgauge.llm.common import fresh_path, stored, unused
 
 BIG_SHARE = 200
 N_BLOCKS = 512
@@ -148,14 +149,14 @@ def assign(rows: DataFrame, size: str, old: str, n_old: int, n_new: int, cost: l
     offset = counts.select(*piece, (F.sum("_n").over(W.partitionBy("_shard").orderBy(old, "_block")) - F.col("_n")).alias("_offset"))
     rank = F.row_number().over(W.partitionBy(*piece).orderBy("_row")) - 1
     out = all_rows.withColumn("_rank", rank).join(offset, ["_shard", old, "_block"])
-    return out.select(*columns, F.col("_shard").alias("shard"), (F.col("_offset") + F.col("_rank")).cast("long").alias("slot")), arcs
+    return out.select(*columns, F.col("_shard").alias(unused(rows, "shard")), (F.col("_offset") + F.col("_rank")).cast("long").alias(unused(rows, "slot"))), arcs
 
 
 def rewrite(spark: SparkSession, layout: dict[int, str], n_new: int, size_expr: str, out: str | None = None) -> dict[int, str]:
     """Reshard Parquet shards {number: path} into n_new shards of near equal size_expr. Only shards that some row leaves
     or enters are written anew, under out; the others keep their files. Returns the new {number: path}."""
     out = out or fresh_path(spark, "layout")
-    parts = [spark.read.parquet(path).withColumns({"_old": F.lit(k), "_size": F.expr(size_expr).cast("long")}) for k, path in sorted(layout.items())]
+    parts = [spark.read.parquet(path).drop("shard", "slot").withColumns({"_old": F.lit(k), "_size": F.expr(size_expr).cast("long")}) for k, path in sorted(layout.items())]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)

@@ -9,8 +9,8 @@ weight are discarded. A shingle of weight w costs about log2(w) processes. Point
 slots are very probably filled are not generated; documents with an empty slot double the bound.
 
 Signatures are banded. In each bucket the members are compared with leaders, each verified by exact multiset overlap:
-first one leader, then, in buckets whose members lie in more than one component, sixteen times as many each round, until
-every pair of candidates in different components has been compared. Pairs inside a component need no comparison. So no
+first one leader, then, in buckets whose members lie in more than one component, sixteen, then 256 times as many each
+round, until every pair of candidates in different components has been compared. Pairs inside a component need no comparison. So no
 link among the candidates is lost, and a bucket of k like documents costs k comparisons. Candidates share a band and
 agree in AGREE of all slots; a pair in several buckets is compared once.
 
@@ -38,6 +38,7 @@ from fleetgauge.llm.components import stars
 from fleetgauge.llm.lz_spans import MIX, U, Words, mixed, rolling
 
 WORD = re.compile(r"\w+")
+BITS = 2048
 GOLDEN = U(0x9E3779B97F4A7C15)
 
 
@@ -73,6 +74,15 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return both / (int(a[1].sum()) + int(b[1].sum()) - both)
 
 
+def bitmap(b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """BITS bits as 64-bit numbers, one set for each shingle and each repeat of it."""
+    starts = np.cumsum(b[1]) - b[1]
+    repeat = np.arange(int(b[1].sum())) - np.repeat(starts, b[1])
+    bits = np.zeros(BITS, bool)
+    bits[(mixed(np.repeat(b[0], b[1]) + repeat.astype(U) * GOLDEN) & U(BITS - 1)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64)
+
+
 def signatures(bags: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
     """BagMinHash signatures, one row of m hashes per bag."""
     out = np.zeros((len(bags), m), U)
@@ -133,8 +143,8 @@ def band_keys(sig: np.ndarray, rules: NearRules) -> np.ndarray:
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str, rules: NearRules) -> DataFrame:
-    """(doc, c, keys, sig, size): content key, band keys, 16 bits of each signature slot and weight of each row with words."""
-    schema = struct(("doc", docs.schema[id_col].dataType.simpleString()), ("c", "binary"), ("keys", "array<long>"), ("sig", "array<short>"), ("size", "long"))
+    """(doc, c, keys, sig, size): content key, band keys, 16 bits of each signature slot, weight and bitmap of each row with words."""
+    schema = struct(("doc", docs.schema[id_col].dataType.simpleString()), ("c", "binary"), ("keys", "array<long>"), ("sig", "array<short>"), ("size", "long"), ("bits", "array<long>"))
 
     def run(batches):
         hashes = Words()
@@ -148,8 +158,8 @@ def signed(docs: DataFrame, id_col: str, text_col: str, rules: NearRules) -> Dat
                 bags = [bag(texts[i], hashes, rules.shingle) for i in has]
                 sig = signatures(bags, rules.bands * rules.rows)
                 keys, slots = band_keys(sig, rules), (sig >> U(48)).astype(np.uint16).view(np.int16)
-                columns = [part.column(0).take(pa.array(has)), pa.array([content_key(texts[i]) for i in has], pa.binary()), pa.array(list(keys), pa.list_(pa.int64())), pa.array(list(slots), pa.list_(pa.int16())), pa.array([int(b[1].sum()) for b in bags], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc", "c", "keys", "sig", "size"])
+                columns = [part.column(0).take(pa.array(has)), pa.array([content_key(texts[i]) for i in has], pa.binary()), pa.array(list(keys), pa.list_(pa.int64())), pa.array(list(slots), pa.list_(pa.int16())), pa.array([int(b[1].sum()) for b in bags], pa.int64()), pa.array([bitmap(b) for b in bags], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "c", "keys", "sig", "size", "bits"])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
@@ -192,17 +202,21 @@ def verified(pairs: DataFrame, texts: DataFrame, rules: NearRules) -> DataFrame:
 
 def candidates(left: DataFrame, leaders: int, rules: NearRules) -> DataFrame:
     """(a, b): members of open buckets, each with the leaders of other components in its bucket. A pair comes from the
-    first band in which it agrees only, and only if sizes and signatures allow the similarity. left: (k, n, c, h, label,
-    keys, sig, size); a bucket's leaders are its members with the least h, some `leaders` of them."""
-    names = ("c", "label", "h", "keys", "sig", "size")
+    first band in which it agrees only, and only if sizes, signatures and bitmaps allow the similarity: a bit that only one
+    bag sets is a shingle that the other lacks, which bounds the overlap from above. left: (k, n, c, h, label, keys, sig,
+    size, bits); a bucket's leaders are its members with the least h, some `leaders` of them."""
+    names = ("c", "label", "h", "keys", "sig", "size", "bits")
     lead = left.filter(F.col("h").cast("double") * F.col("n") < F.lit(float(leaders) * (1 << 40))).select("k", *(F.col(c).alias(f"{c}_b") for c in names))
     first = F.array_intersect("keys", "keys_b")[0] == F.col("k")
     sizes = F.least("size", "size_b") >= F.greatest("size", "size_b") * (rules.similarity - 1e-12)
     equal = F.expr(f"aggregate(zip_with(sig, sig_b, (x, y) -> int(x = y)), 0, (s, v) -> s + v) >= {math.ceil(rules.agree * rules.bands * rules.rows)}")
+    only = lambda x, y: F.expr(f"aggregate(zip_with({x}, {y}, (x, y) -> bit_count(x & ~y)), 0, (s, v) -> s + v)")
+    most = F.least(F.col("size") - only("bits", "bits_b"), F.col("size_b") - only("bits_b", "bits"))
+    possible = most >= (F.col("size") + F.col("size_b") - most) * (rules.similarity - 1e-12)
     lead = lead.withColumnRenamed("k", "kb")
     once = (F.col("h") > F.col("h_b")) | (F.col("h").cast("double") * F.col("n") >= F.lit(float(leaders) * (1 << 40)))
     member = left.select("k", "n", *names)
-    cond = (F.col("k") == F.col("kb")) & (F.col("label") != F.col("label_b")) & once & sizes & first & equal
+    cond = (F.col("k") == F.col("kb")) & (F.col("label") != F.col("label_b")) & once & sizes & first & equal & possible
     return member.join(lead, cond).select(F.col("c").alias("a"), F.col("c_b").alias("b")).distinct()
 
 
@@ -218,8 +232,8 @@ def links(docs: DataFrame, id_col: str, text_col: str, members: DataFrame, bucke
     # a few bands join most of what belongs together, so that the other bands have little left to compare
     tested = stored(led.filter(F.col("band") < 4).select(F.col("c").alias("a"), F.col("lead")["c"].alias("b")).distinct(), "near-pairs")
     e = stars(verified(tested, texts, rules))
-    leaders = 1
-    while leaders < 16 * most:  # in the last round all members lead
+    leaders = 16
+    while leaders < 256 * most:  # in the last round all members lead
         label = e.withColumnsRenamed({"a": "c", "b": "label"})
         now = sized.select("k", "c", "h").join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))
         open_groups = now.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter(F.col("lo") != F.col("hi")).select("k", "n")
@@ -234,7 +248,7 @@ def links(docs: DataFrame, id_col: str, text_col: str, members: DataFrame, bucke
             discard(spark, e)
             e, tested = new, tested.unionByName(pairs)
         discard(spark, left)
-        leaders *= 16
+        leaders *= 256
     return e
 
 
@@ -243,7 +257,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     rules = rules or NearRules()
     rows = stored(signed(docs, id_col, text_col, rules), "near-signed")
     members = rows.select("doc", "c")
-    nodes = rows.groupBy("c").agg(F.first(F.struct("keys", "sig", "size")).alias("s")).select("c", "s.*")
+    nodes = rows.groupBy("c").agg(F.first(F.struct("keys", "sig", "size", "bits")).alias("s")).select("c", "s.*")
     exploded = nodes.select("c", F.posexplode("keys").alias("band", "k"))
     many = exploded.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k")
     buckets = stored(exploded.join(many, "k").select("band", "k", "c"), "near-buckets")

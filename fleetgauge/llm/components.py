@@ -20,17 +20,21 @@ def _small(e: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("a", F.col("m").alias("b")))
 
 
+def _done(e: DataFrame) -> bool:
+    """Whether each node has one edge, to a node that has none of its own."""
+    several = e.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
+    chained = e.select(F.col("b").alias("a")).join(e.select("a"), "a", "left_semi")
+    return several.unionByName(chained).isEmpty()
+
+
 def stars(edges: DataFrame) -> DataFrame:
     """(a, b): each node that has an edge and is not its component's least, with that least node. edges: (a, b), any
-    order, loops allowed. Ends when a step changes nothing; each step is stored, so a lost executor costs one step."""
+    order, loops allowed. Each step is stored, so a lost executor costs one step."""
     spark = edges.sparkSession
     e = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e, was = stored(e, "stars"), None
-    while True:
-        now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first())
-        if now == was or now[0] == 0:
-            return e
-        was = now
+    e = stored(e, "stars")
+    while not _done(e):
         new = stored(_small(_large(e).distinct()).distinct(), "stars")
         discard(spark, e)
         e = new
+    return e

@@ -168,7 +168,7 @@ def node_texts(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, me
     """(c, text): a text for each content key in nodes."""
     rep = members.groupBy("c").agg(F.min("doc").alias("_doc"))
     asked = nodes.join(rep, "c").withColumnRenamed("c", "_c")
-    rows = docs.select(id_col, text_col).join(asked, docs[id_col].eqNullSafe(asked["_doc"])).select("_c", text_col)
+    rows = docs.select(id_col, text_col).join(asked.hint("merge"), docs[id_col].eqNullSafe(asked["_doc"])).select("_c", text_col)
 
     def check(c, text):
         if content_key(words_of(text or "")) == c:
@@ -289,7 +289,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
     found = stored(classes(docs, id_col, text_col, rules), "near-classes")
     if found.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
         lost = found.filter(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_doc"))
-        return docs.join(lost, docs[id_col].eqNullSafe(lost["_doc"]), "left_anti")
+        return docs.join(lost.hint("merge"), docs[id_col].eqNullSafe(lost["_doc"]), "left_anti")  # the same plan at every size
     key = unused(docs, "_content")
     text_at = docs.columns.index(text_col)
     keyed = map_rows(docs, docs.columns, lambda *v: [(*v, content_key(words_of(v[text_at] or "")))], T.StructType([*docs.schema.fields, T.StructField(key, T.BinaryType())]))

@@ -207,7 +207,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     rules = rules or LineRules()
     n_lines, n_dropped = unused(docs, "n_lines"), unused(docs, "n_dropped")
     lost = drops(docs, id_col, text_col, rules).withColumnsRenamed({"doc": "_doc", "drop": "_drop"})
-    joined = docs.join(lost, docs[id_col].eqNullSafe(lost["_doc"]), "left").drop("_doc")
+    joined = docs.join(lost.hint("merge"), docs[id_col].eqNullSafe(lost["_doc"]), "left").drop("_doc")  # the same plan at every size
     schema = T.StructType([*docs.schema.fields, T.StructField(n_lines, T.LongType()), T.StructField(n_dropped, T.LongType())])
     columns, text_at = docs.columns, docs.columns.index(text_col)
 

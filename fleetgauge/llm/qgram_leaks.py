@@ -1,11 +1,14 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Benchmark items and documents are normalised (lower case, runs of ASCII characters other than letters and digits as
-one space) and compared as UTF-8. An item is searched by windows of WINDOW bytes, half overlapping, so that a part of it is
-found too; shorter items are one window. A window of m bytes with at most e edits in a document keeps m - q + 1 - q * e
-of its q-grams, on diagonals that differ by at most e. So the shared q-grams of a document are counted in bands of
-diagonals 2 * (e + 1) wide, each overlapping the next by half, and only bands that reach the bound are aligned, by a
-banded edit distance of the window against any part of that region. No match within the budget is missed.
+one space) and compared as UTF-8. An item is searched by windows of WINDOW bytes, one every STRIDE bytes and one at its
+end, so that a part of it is found too; items below WINDOW bytes are one window. A window of m bytes with at most e edits
+in a document keeps m - q + 1 - q * e of its q-grams, on diagonals that differ by at most e. So the q-grams that a
+document shares with an item are counted in bands of diagonals 2 * (e + 1) wide, each overlapping the next by half; in
+bands that reach the bound they are counted per window, and windows that reach it are aligned, by a banded edit distance
+against any part of that region. No window within the budget is missed, so a verbatim passage of WINDOW + STRIDE - 1
+bytes (55) is surely found wherever it lies in an item, and so is one with edits that holds a window within the budget.
+Shorter passages are found only where they hold a window, and those below WINDOW less the budget never.
 
 Scale: documents are read once, where they lie, with no shuffle. The benchmark is sent to the tasks in blocks of at
 most BLOCK_BYTES; a larger one is searched block by block. The work grows with the text, not with copies or hot keys.
@@ -35,8 +38,9 @@ BLOCK_BYTES = 8 << 20
 
 @dataclass(frozen=True)
 class LeakRules:
-    q: int = 8  # grams are read as 64-bit numbers
-    window: int = 128
+    q: int = 8  # at most 8: grams are read as 64-bit numbers
+    window: int = 48
+    stride: int = 8
     budget: float = 0.1
     least: int = 32
 
@@ -45,48 +49,59 @@ def normalised(text: str) -> bytes:
     return b" ".join(text.lower().encode().translate(SPACED).split())
 
 
-def grams(raw: bytes) -> np.ndarray:
-    """The 8-byte grams of raw as numbers."""
-    n = len(raw) - 7
+def grams(raw: bytes, q: int) -> np.ndarray:
+    """The q-byte grams of raw as numbers."""
+    n = len(raw) - q + 1
     if n <= 0:
         return np.zeros(0, U)
-    return np.lib.stride_tricks.as_strided(np.frombuffer(raw, np.uint8), (n, 8), (1, 1)).copy().view(U).ravel()
+    padded = np.frombuffer(raw + bytes(8 - q), np.uint8)
+    return np.lib.stride_tricks.as_strided(padded, (n, 8), (1, 1)).copy().view("<u8").ravel() & U((1 << 8 * q) - 1)
 
 
-def windows(raw: bytes, rules: LeakRules) -> list[bytes]:
-    if len(raw) < rules.least:
+def starts(n: int, rules: LeakRules) -> list[int]:
+    """Where the windows of an item of n bytes start."""
+    if n < rules.least:
         return []
-    step = rules.window // 2
-    starts = [*range(0, max(1, len(raw) - rules.window + 1), step)]
-    if len(raw) > rules.window and starts[-1] != len(raw) - rules.window:
-        starts.append(len(raw) - rules.window)
-    return [raw[a : a + rules.window] for a in starts]
+    last = max(0, n - rules.window)
+    return [*range(0, last, rules.stride), last]
 
 
 class Patterns:
-    """The windows of a block of items, with their grams sorted for lookup and a bitmap that rules most grams out."""
+    """The windows of a block of items; the items' grams sorted for lookup, and a bitmap that rules most grams out."""
 
     def __init__(self, items: list[tuple], rules: LeakRules):
-        self.rules, self.item, self.raw = rules, [], []
+        self.rules, self.item, self.raw, self.start = rules, [], [], []
+        texts, first = [], [0]
         for item, text in items:
-            for w in windows(normalised(text or ""), rules):
-                self.item.append(item)
-                self.raw.append(w)
-        self.edits = np.array([min(int(rules.budget * len(w)), (len(w) - rules.q) // rules.q) for w in self.raw], np.int64)
-        self.bound = np.array([len(w) - rules.q + 1 - rules.q * e for w, e in zip(self.raw, self.edits, strict=True)], np.int64)
-        parts = [grams(w) for w in self.raw]
+            raw = normalised(text or "")
+            at = starts(len(raw), rules)
+            if at:
+                texts.append(raw)
+                self.item.extend([item] * len(at))
+                self.raw.extend(raw[a : a + rules.window] for a in at)
+                self.start.extend(at)
+                first.append(len(self.raw))
+        self.start = np.array(self.start, np.int64)
+        #: Windows first[t] up to first[t + 1] are those of text t; they are equally long.
+        self.first_window = np.array(first, np.int64)
+        size = np.array([min(len(t), rules.window) for t in texts], np.int64)
+        self.text_edits = np.minimum((rules.budget * size).astype(np.int64), (size - rules.q) // rules.q)
+        self.reach = size - rules.q + 1  # grams of a window
+        self.bound = self.reach - rules.q * self.text_edits
+        self.edits = np.repeat(self.text_edits, np.diff(self.first_window))
+        parts = [grams(t, rules.q) for t in texts]
         gram = np.concatenate(parts) if parts else np.zeros(0, U)
-        pattern = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        text = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         place = np.concatenate([np.arange(len(p)) for p in parts]) if parts else np.zeros(0, np.int64)
         order = np.argsort(gram, kind="stable")
-        self.pattern, self.place = pattern[order], place[order]
+        self.text, self.place = text[order], place[order]
         self.gram, self.first, self.count = np.unique(gram[order], return_index=True, return_counts=True)
         self.bitmap = np.zeros(1 << BITS, bool)
         self.bitmap[self.gram * MULTIPLIER >> U(64 - BITS)] = True
 
     def regions(self, raw: bytes) -> list[tuple[int, int, int]]:
-        """(pattern, low, high): bands of diagonals that share enough grams with a pattern."""
-        g = grams(raw)
+        """(pattern, low, high): bands of diagonals that share enough grams with a pattern, in ascending order of bands."""
+        g = grams(raw, self.rules.q)
         at = np.flatnonzero(self.bitmap[g * MULTIPLIER >> U(64 - BITS)])
         if not len(at) or not len(self.gram):
             return []
@@ -95,25 +110,33 @@ class Patterns:
         at, k = at[true], k[true]
         n = self.count[k]
         hit = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        pattern, place, at = self.pattern[hit], self.place[hit], np.repeat(at, n)
-        enough = (np.bincount(pattern, minlength=len(self.bound)) >= self.bound)[pattern]
+        text, place, at = self.text[hit], self.place[hit], np.repeat(at, n)
+        enough = (np.bincount(text, minlength=len(self.bound)) >= self.bound)[text]
         if not enough.any():
             return []
-        pattern, place, at = pattern[enough], place[enough], at[enough]
-        width = self.edits[pattern] + 1
-        band = (at - place) // width
-        # each hit counts in the band that starts at its step and in the one before; a gram of the pattern counts once
-        group = pattern << 34 | band + (1 << 32)
+        text, place, at = text[enough], place[enough], at[enough]
+        band = (at - place) // (self.text_edits[text] + 1)
+        # each hit counts in the band that starts at its step and in the one before
+        group = text << 34 | band + (1 << 32)
         group = np.concatenate([group, group - 1])
         near, of, counts = np.unique(group, return_inverse=True, return_counts=True)
-        good = counts >= self.bound[near >> 34]
-        if not good.any():
+        left = (counts >= self.bound[near >> 34])[of]
+        if not left.any():
             return []
-        left = good[of]
-        once = np.unique(np.stack([of[left], np.concatenate([place, place])[left]]), axis=1)[0]
-        good &= np.bincount(once, minlength=len(near)) >= self.bound[near >> 34]
-        groups = near[good] >> 34, (near[good] & ((1 << 34) - 1)) - (1 << 32)
-        return [(int(p), int(b * (self.edits[p] + 1)), int((b + 2) * (self.edits[p] + 1))) for p, b in zip(*groups, strict=True)]
+        # a gram of the text counts once in a band: sorted by band and place
+        of, place = np.unique(np.stack([of[left], np.concatenate([place, place])[left]]), axis=1)
+        out, ends = [], np.flatnonzero(np.diff(of, append=-1)) + 1
+        for a, b in zip([0, *ends[:-1]], ends, strict=True):
+            key = int(near[of[a]])
+            t, step = key >> 34, int(self.text_edits[key >> 34]) + 1
+            if b - a < self.bound[t]:
+                continue
+            low = ((key & ((1 << 34) - 1)) - (1 << 32)) * step
+            p = int(self.first_window[t])
+            start, places = self.start[p : self.first_window[t + 1]], place[a:b]
+            shared = np.searchsorted(places, start + self.reach[t]) - np.searchsorted(places, start)
+            out.extend((p + int(w), low + int(start[w]), low + int(start[w]) + 2 * step) for w in np.flatnonzero(shared >= self.bound[t]))
+        return out
 
 
 def banded(pattern: bytes, text: bytes, most: int) -> tuple[int, int] | None:
@@ -138,6 +161,8 @@ def search(raw: bytes, patterns: Patterns) -> dict:
     found: dict = {}
     best: dict[int, tuple[int, int, int]] = {}
     for p, low, high in patterns.regions(raw):
+        if p in best and best[p][0] == 0:  # later bands lie further on
+            continue
         w, e = patterns.raw[p], int(patterns.edits[p])
         a = max(0, low - e)
         part = raw[a : max(0, high + len(w) + e)]

@@ -139,6 +139,34 @@ def test_leaks(spark, docs_of, monkeypatch):
     assert ql.leaks(docs_of(rows), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("length", [60, 100, 127, 128, 233, 394])
+def test_partial_copies_at_every_offset(length):
+    r = random.Random(length)
+    rules = ql.LeakRules()
+    item = ql.normalised(prose(r, 100))[:length].strip()
+    patterns = ql.Patterns([(7, item.decode())], rules)
+    sure = rules.window + rules.stride - 1
+    assert sure == 55
+    before, after = ql.normalised(prose(r, 12)), ql.normalised(prose(r, 12))
+    assert not ql.search(before + b" " + after, patterns)
+    for a in range(len(item) - sure + 1):
+        part = item[a : a + sure]
+        found = ql.search(before + b"|" + part + b"|" + after, patterns)
+        assert list(found) == [7] and found[7][1] == 0, a
+        edited = bytearray(part)
+        for at in range(6, sure, 14):  # 4 edits
+            edited[at] = 35
+        assert list(ql.search(before + b"|" + bytes(edited) + b"|" + after, patterns)) == [7], a
+
+
+def test_passage_between_two_long_windows(docs_of, spark):
+    item = prose(random.Random(9), 60)[:233]
+    rows = [(1, prose(random.Random(10), 30) + " " + item[30:170] + " " + prose(random.Random(11), 30)), (2, prose(random.Random(12), 60))]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [(x.doc_id, x.item_id, x.edits) for x in ql.leaks(docs_of(rows), bench).collect()] == [(1, 1, 0)]
+    assert [x.doc_id for x in ql.clean(docs_of(rows), bench).collect()] == [2]
+
+
 # web pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body class="x">

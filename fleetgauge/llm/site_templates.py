@@ -1,12 +1,13 @@
 """Main text of web pages: site templates are found by counting element subtrees per host, and deleted.
 
-A page is parsed leniently into elements. Every element with text outside the page's article is hashed with all that is
-below it (tag, class, text, children), and Spark counts on how many different pages of a host each hash occurs; pages
-with the same main text count once, so that copies of a page don't make its text a template. Subtrees that recur on
+A page is parsed leniently into elements. Every element with text is hashed with all that is below it (tag, class, text,
+children), and Spark counts on how many different pages of a host each hash occurs; pages with the same main text count once, so that copies of a page don't make its text a template. Subtrees that recur on
 LEAST_PAGES pages and LEAST_SHARE of the host's pages are deleted. What a host with few pages can't show by counting is
 left out by its markup: scripts, styles, navigation, headers and footers of the page, sidebars, forms, notices,
 adverts and comments, told by tag, role, class or id. If the page marks its article (or main part), the text is what
-is inside; template deletion never reaches into it, since a passage may well recur in articles.
+is inside. There a passage may well recur, so a subtree inside must recur on INNER_SHARE of the host's pages, and only
+whole parts of the article count (INNER elements below the article by nothing but PATH elements), not list items, cells,
+headings or marked words.
 
 Scale: only hashes are shuffled, 16 bytes per element; counts are distinct counts in two steps, so a host with a third
 of all pages is combined before it moves. The template hashes are sent to the tasks as one sorted array while there are at
@@ -34,6 +35,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"
 ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 HOST = re.compile(r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#]*)")
 NAME = re.compile(r"[a-z0-9]+")
+#: The lowest bit of a subtree's key: whether it lies inside an article.
+INSIDE = 1
 
 #: Elements by what they mean in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,6 +46,8 @@ CLOSES_P = BLOCK - frozenset("br option td th tr tbody thead tfoot caption legen
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
 FENCE = frozenset("article section div table ul ol dl body main aside td th blockquote nav footer header form".split())
 NEVER = frozenset("head script style noscript template svg math iframe object canvas audio video map nav footer aside form button select input textarea dialog menu search title".split())
+INNER = frozenset("address blockquote center details div dl figure ol p pre section table ul".split())
+PATH = frozenset("article center div main section".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 #: Names in classes and ids of what isn't article text; those of the first kind only outside an article.
 OUTER_NAMES = frozenset("header masthead banner topbar footer".split())
@@ -53,6 +58,7 @@ NAMES = frozenset("nav navbar navigation navi menu submenu breadcrumb breadcrumb
 class TemplateRules:
     least_pages: int = 5
     least_share: float = 0.02
+    inner_share: float = 0.5
 
 
 @dataclass(slots=True)
@@ -147,18 +153,19 @@ def has_text(e: Element) -> bool:
     return False
 
 
-def hashes(root: Element, host: str, skip: list[Element]) -> dict[int, int]:
-    """Hash, together with the host, of each element with text that is neither in skip nor above or below it, by id()."""
+def hashes(root: Element, host: str, main: list[Element]) -> dict[int, int]:
+    """Hash, together with the host, by id(), of each element with text that is neither in main nor above; below only of
+    its whole parts, marked INSIDE."""
     found: dict[int, int] = {}
-    above = {id(x) for x in skip}
-    order, todo = [], [(root, None)]
+    mixed = {id(x) for x in main}
+    # part: None outside main; inside, whether only PATH elements are above
+    order, todo = [], [(root, None, None)]
     while todo:
-        e, parent = todo.pop()
-        order.append((e, parent))
-        if id(e) not in above:
-            todo += [(c, e) for c in e.children if isinstance(c, Element) and c.tag not in RAW]
-    mixed = set(above)
-    for e, parent in reversed(order):  # children before parents
+        e, parent, part = todo.pop()
+        order.append((e, parent, part))
+        below = True if id(e) in mixed else part and e.tag in PATH
+        todo += [(c, e, below) for c in e.children if isinstance(c, Element) and c.tag not in RAW]
+    for e, parent, _ in reversed(order):  # children before parents
         if id(e) in mixed:
             if parent is not None:
                 mixed.add(id(parent))
@@ -175,7 +182,11 @@ def hashes(root: Element, host: str, skip: list[Element]) -> dict[int, int]:
         if some:
             found[id(e)] = xxhash.xxh3_64_intdigest("\x01".join([host, *parts])) >> 1
     found.pop(id(root), None)
-    return found
+    keys = {}
+    for e, _, part in order:
+        if id(e) in found and (part is None or part and e.tag in INNER):
+            keys[id(e)] = found[id(e)] & ~INSIDE if part is None else found[id(e)] | INSIDE
+    return keys
 
 
 def text_of(roots: list[Element], inside: bool, dropped: set[int]) -> str:
@@ -212,7 +223,7 @@ def host_of(url: str | None) -> str:
 
 
 def page_hashes(url: str | None, source: str | None):
-    """(key, page): the hashes of a page's elements outside its article, and one row (hash of the host) for the page itself."""
+    """(key, page): the hashes of a page's elements, and one row (hash of the host) for the page itself."""
     root, host = parse(source or ""), host_of(url)
     main = containers(root)
     page = xxhash.xxh3_64_intdigest(text_of(main or [root], bool(main), set())) >> 1
@@ -232,7 +243,8 @@ def templates(pages: DataFrame, url_col: str, html_col: str, rules: TemplateRule
     counts = stored(counts, "subtree-counts")
     sizes = counts.filter(F.col("host") == F.col("key")).select("host", F.col("n").alias("pages"))
     often = counts.filter((F.col("host") != F.col("key")) & (F.col("n") >= rules.least_pages))
-    return stored(often.join(sizes, "host").filter(F.col("n") >= F.col("pages") * rules.least_share).select("key"), "templates")
+    share = F.when(F.col("key").bitwiseAND(F.lit(INSIDE)) == INSIDE, rules.inner_share).otherwise(rules.least_share)
+    return stored(often.join(sizes, "host").filter(F.col("n") >= F.col("pages") * share).select("key"), "templates")
 
 
 def page_text(url: str | None, source: str | None, known) -> str:

@@ -183,6 +183,20 @@ def test_page():
     assert stt.page_text("", "<p>a<!-- c --><p>b</p>tail", none) == "a\nb\ntail"
 
 
+def test_templates_inside_articles(spark):
+    rows = []
+    for i in range(40):
+        shared = "<p>A passage that some articles share.</p>" if i % 8 == 0 else ""
+        body = f"<h2>Facts</h2><p>Story {i} <b>Note</b> of its own.</p>{shared}<ul><li>Same item<li>Item {i}</ul>"
+        rows.append((i, f"http://h.example/{i}", f"<body><article><div class='x7'>By our staff</div><div>{body}</div><div class='x9'><p>Share this story</div></article>"))
+    rows += [(90 + i, "http://few.example/", f"<article><p>Page {i}<div class='x7'>By our staff</div></article>") for i in range(3)]
+    got = {r.page_id: r.text for r in stt.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(40):
+        shared = "A passage that some articles share.\n" if i % 8 == 0 else ""
+        assert got[i] == f"Facts\nStory {i} Note of its own.\n{shared}Same item\nItem {i}"
+    assert got[91] == "Page 1\nBy our staff"
+
+
 def test_templates_by_counting(spark):
     rows = []
     for i in range(40):

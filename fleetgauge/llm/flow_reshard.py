@@ -16,6 +16,7 @@ a shard or slot of its own, ours get an underscore.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 
@@ -27,6 +28,10 @@ from fleetgauge.llm.common import fresh_path, stored, unused
 
 BIG_SHARE = 200
 N_BLOCKS = 512
+#: Columns of a rewritten layout; those that the rows have under other names stay.
+SHARD, SLOT = "reshard_shard", "reshard_slot"
+#: Bytes of a shard that one task writes.
+PIECE_BYTES = 128 << 20
 
 
 def min_cost_flow(supply: list[int], demand: list[int], cost: list[list[int]]) -> dict[tuple[int, int], int]:
@@ -154,19 +159,39 @@ def assign(rows: DataFrame, size: str, old: str, n_old: int, n_new: int, cost: l
 
 def rewrite(spark: SparkSession, layout: dict[int, str], n_new: int, size_expr: str, out: str | None = None) -> dict[int, str]:
     """Reshard Parquet shards {number: path} into n_new shards of near equal size_expr. Only shards that some row leaves
-    or enters are written anew, under out; the others keep their files. Returns the new {number: path}."""
+    or enters are written anew, under out, with each row's SLOT; the others keep their files. Returns the new
+    {number: path}. Sizes alone are planned; a row is told by its file and place there, and its columns move once."""
     out = out or fresh_path(spark, "layout")
-    parts = [spark.read.parquet(path).drop("shard", "slot").withColumns({"_old": F.lit(k), "_size": F.expr(size_expr).cast("long")}) for k, path in sorted(layout.items())]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    placed, _ = assign(rows, "_size", "_old", max(layout) + 1, n_new)
-    placed = stored(placed, "placed")
-    moved = placed.filter(F.col("_old") != F.col("shard")).select("_old", "shard").distinct().collect()  # n_old * n_new rows at most
-    touched = sorted({r[0] for r in moved} | {r[1] for r in moved} | (set(range(n_new)) - set(layout)))
-    todo = placed.filter(F.col("shard").isin(touched))
-    todo.withColumn("_piece", F.expr("slot div 1000000")).repartition(F.col("shard"), F.col("_piece")).drop("_old", "_size", "_piece").write.partitionBy("shard").parquet(out)
+    rows = _shards(spark, layout)
+    placed, _ = assign(rows.select("_file", "_at", "_old", F.expr(size_expr).cast("long").alias("_size")), "_size", "_old", max(layout) + 1, n_new)
+    placed = stored(placed.withColumnsRenamed({"shard": SHARD, "slot": SLOT}), "placed")
+    moves = placed.groupBy("_old", SHARD).agg(F.sum("_size"), F.count(F.lit(1))).collect()  # n_old * n_new rows at most
+    touched = sorted({x for i, j, _, _ in moves if i != j for x in (i, j)} | (set(range(n_new)) - set(layout)))
+    piece = max(1, PIECE_BYTES * sum(m[3] for m in moves) // max(1, sum(m[2] or 0 for m in moves)))
+    todo = placed.filter(F.col(SHARD).isin(touched)).drop("_size", "_old")
+    moved = rows.drop(SLOT).join(todo, ["_file", "_at"]).withColumn("_piece", F.expr(f"{SLOT} div {piece}"))
+    moved.repartition(F.col(SHARD), F.col("_piece")).sortWithinPartitions(SHARD, SLOT).drop("_file", "_at", "_old", "_piece").write.option("compression", "zstd").partitionBy(SHARD).parquet(out)
     kept = {k: p for k, p in layout.items() if k < n_new and k not in touched}
-    new = kept | {k: f"{out}/shard={k}" for k in touched if k < n_new and placed.filter(F.col("shard") == k).limit(1).count()}
+    new = kept | {k: f"{out}/{SHARD}={k}" for k in sorted({m[1] for m in moves} & set(touched))}
     spark.createDataFrame([(json.dumps(new, sort_keys=True),)], "value string").coalesce(1).write.text(f"{out}/_manifest")
     return dict(sorted(new.items()))
+
+
+def _shards(spark: SparkSession, layout: dict[int, str]) -> DataFrame:
+    """The rows of all shards, with _old (the shard), and _file and _at, which tell a row."""
+    parts = [spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"), F.lit(k).alias("_old")) for k, path in sorted(layout.items())]
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def read_layout(spark: SparkSession, layout: dict[int, str]) -> DataFrame:
+    """The rows of a layout that rewrite() returned, with SHARD and SLOT. A shard that no rewrite touched is numbered in the
+    order of its files."""
+    rows = _shards(spark, layout).withColumnRenamed("_old", SHARD)
+    order = F.row_number().over(W.partitionBy(SHARD).orderBy("_file", "_at")) - 1
+    if SLOT not in rows.columns:
+        return rows.withColumn(SLOT, order.cast("long")).drop("_file", "_at")
+    done = [k for k, path in layout.items() if SLOT not in spark.read.parquet(path).columns]
+    if not done:
+        return rows.drop("_file", "_at")
+    plain = rows.filter(F.col(SHARD).isin(done)).withColumn(SLOT, order.cast("long"))
+    return rows.filter(~F.col(SHARD).isin(done)).unionByName(plain).drop("_file", "_at")

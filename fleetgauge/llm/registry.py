@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgauge.llm import bag_minhash, compression_bands, cuckoo_lines, feistel_order, flow_reshard, kk_pack, license_scan, lz_spans, qgram_leaks, site_templates
-from fleetgauge.llm.common import table
+from fleetgauge.llm.common import fresh_path, table
 
 
 def op1_cuckoo_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,11 +27,18 @@ FROM marked GROUP BY doc_id
 
 
 def op2_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From 24 shards by the hash of the source (a hot source makes one of them very large) to 40 of near equal bytes."""
+    """From 24 shards by the hash of the source (a hot source makes one of them very large) to 40 of near equal bytes: the
+    old shards are written, the affected ones rewritten, and the digests taken from the files of the new layout."""
+    old = F.pmod(F.xxhash64("source"), F.lit(24)).cast("int")
+    folder = fresh_path(spark, "old-layout")
+    table(spark, sf_dir, "documents").withColumn("old_shard", old).write.option("compression", "zstd").partitionBy("old_shard").parquet(folder)
+    numbers = [r[0] for r in table(spark, sf_dir, "documents").select(old).distinct().collect()]  # 24 at most
+    if not numbers:
+        return spark.createDataFrame([], "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int, old_shard int")
+    new = flow_reshard.rewrite(spark, {k: f"{folder}/old_shard={k}" for k in numbers}, 40, "octet_length(coalesce(text, '')) + 16")
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.pmod(F.xxhash64("source"), F.lit(24)).cast("int").alias("old_shard"))
-    placed, _ = flow_reshard.assign(rows, "size", "old_shard", 24, 40)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    rows = flow_reshard.read_layout(spark, new)
+    return rows.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), F.col(flow_reshard.SHARD).alias("shard"), F.col(flow_reshard.SLOT).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), old.alias("old_shard"))
 
 
 def op3_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,6 +81,38 @@ def test_assign_and_rewrite(spark, tmp_path):
     assert len(same) == 5
 
 
+def test_rewrite_keeps_columns_and_text(spark, tmp_path):
+    df = spark.range(300).selectExpr("id AS doc_id", "CAST(id % 3 AS STRING) AS shard", "id * 2 AS slot", "IF(id % 9 = 0, NULL, repeat('y', CAST(id AS INT))) AS text")
+    layout = {}
+    for k in range(2):
+        layout[k] = str(tmp_path / f"s{k}")
+        df.filter("doc_id >= 30" if k else "doc_id < 30").write.parquet(layout[k])
+    for n in (3, 2):
+        layout = fr.rewrite(spark, layout, n, "octet_length(coalesce(text, '')) + 1", str(tmp_path / f"n{n}"))
+        rows = fr.read_layout(spark, layout)
+        assert sorted(map(str, rows.select(*df.columns).collect())) == sorted(map(str, df.collect()))
+        got = rows.select(fr.SHARD, fr.SLOT).collect()
+        for k in range(n):
+            assert sorted(s for j, s in got if j == k) == list(range(sum(j == k for j, _ in got)))
+    same = fr.read_layout(spark, {0: str(tmp_path / "s0")}).collect()
+    assert [r[fr.SLOT] for r in same] == list(range(30))
+
+
+def test_op2_writes_the_new_layout(spark, tmp_path, monkeypatch):
+    import os
+
+    from fleetgauge.llm import registry
+
+    spark.range(500).selectExpr("id AS doc_id", "repeat('z', CAST(id % 90 AS INT)) AS text", "IF(id < 300, 'hot', CAST(id AS STRING)) AS source").write.parquet(str(tmp_path / "documents.parquet"))
+    layouts, rewrite = [], fr.rewrite
+    monkeypatch.setattr(fr, "rewrite", lambda *a: layouts.append(rewrite(*a)) or layouts[-1])
+    got = registry.op2_flow_reshard(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(500)) and len(layouts[0]) == 40
+    for k, path in layouts[0].items():
+        assert os.path.isdir(path)
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(spark.read.parquet(path).count()))
+
+
 def test_assign_hard_rows(spark):
     df = spark.createDataFrame([(None, 0, 0), (1, None, 0), (2, 5, 1), (2, 5, 1), (3, 10**6, 1)], "doc_id long, size long, old int")
     got = fr.assign(df, "size", "old", 2, 3)[0].collect()

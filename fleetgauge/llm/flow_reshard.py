@@ -1,17 +1,24 @@
 """Resharding by minimum-cost flow: the fewest bytes move from old shards to new capacities.
 
 The sizes of the old shards are supplies, the capacities of the new ones demands, and a byte that changes its shard
-costs 1 (or what a cost matrix says). The flow's arcs are block transfers. Rows are laid out per old shard in blocks;
-running sums of bytes over the blocks, and within each block, give every row a position, and each arc takes an
-interval of positions. Rows too large for that (over 1 / BIG_SHARE of a capacity; there are at most
-BIG_SHARE * n_new of them, whatever the input) are placed first, one by one, inside the flow's budgets where they
-fit; a second flow then spreads the rest over what is left, so that sizes differ by small rows only.
-
-Scale: the driver sees the old shards' sizes, the bounded list of large rows and the arcs. Rows shuffle by
-(old shard, block), so an old shard with a third of all rows is still cut in N_BLOCKS. Cases: null ids and texts are
-ordinary rows; repeated rows are told apart by a row number that is stored before anything depends on it; an empty
-table gives an empty result; if the input has
-a shard or slot of its own, ours get an underscore.
+costs 1 (or what a cost matrix says). The flow's arcs are block transfers. Rows lie per old shard in blocks; running
+sums of bytes over the blocks, and within each block, give every row a position, and each arc takes an interval of
+positions. Rows too large for that (over 1 / BIG_SHARE of a capacity; there are at most (BIG_SHARE + 1) * n_new of
+them, whatever the input) are placed first, one by one, inside the flow's budgets where they fit; a second flow then
+spreads the rest over what is left, so that sizes differ by small rows only.
+
+rewrite() takes positions in the order of the old files, so what moves are ranges of consecutive rows of a file: as many
+as there are files, arcs and, twice, large rows. This list is sent to the tasks, each reads its files once and
+writes what it reads to the new shards; no text is shuffled.
+
+Scale: the driver sees the old shards' sizes, the bounded list of large rows and the arcs. Sizes (not texts) shuffle by
+(old shard, block), so an old shard with a third of all rows is still cut in many blocks. Equal texts are placed row by
+row: a group of copies may be larger than a shard, so it isn't kept together.
+
+Cases: null ids, texts and sizes are ordinary rows (a null size counts as 0). A row whose old shard is null or isn't
+one of them is new: it moves, wherever it goes. Repeated rows and ties are told apart by a row number that is stored
+before anything depends on it, or by their place in a file. An empty table gives an empty result. Very long texts are
+large rows. Columns of any name stay as they are; if one is called shard or slot, ours get an underscore.
 """
 
 from __future__ import annotations
@@ -28,10 +35,10 @@ from fleetgauge.llm.common import fresh_path, stored, unused
 
 BIG_SHARE = 200
 N_BLOCKS = 512
+#: Rows of a file that make a block of it.
+BLOCK_ROWS = 4096
 #: Columns of a rewritten layout; those that the rows have under other names stay.
 SHARD, SLOT = "reshard_shard", "reshard_slot"
-#: Bytes of a shard that one task writes.
-PIECE_BYTES = 128 << 20
 
 
 def min_cost_flow(supply: list[int], demand: list[int], cost: list[list[int]]) -> dict[tuple[int, int], int]:
@@ -114,13 +121,10 @@ def plan(sizes: list[int], big: list[tuple[int, int, int]], n_new: int, cost: li
         small[old] -= size
     room = [max(0, r) for r in room]
     if over := sum(room) - sum(small):  # a row larger than a capacity leaves less to the others
-        level = capacities(over, n_new)
-        order = sorted(range(n_new), key=room.__getitem__)
-        for k, j in enumerate(order):
+        for k, j in enumerate(sorted(range(n_new), key=room.__getitem__)):
             take = min(room[j], -(-over // (n_new - k)))
             room[j] -= take
             over -= take
-        assert over == 0, level
     arcs, start = [], [0] * len(small)
     flow = min_cost_flow(small, room, cost)
     for (i, j), amount in sorted(flow.items(), key=lambda x: (x[0][0], x[0][0] != x[0][1], x[0][1])):
@@ -129,69 +133,103 @@ def plan(sizes: list[int], big: list[tuple[int, int, int]], n_new: int, cost: li
     return at, arcs
 
 
+def _placed(base: DataFrame, n_old: int, n_new: int, cost: list[list[int]] | None) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
+    """base (old, block, at, w, ..) plus the shard of each row, and the arcs. base is stored; rows of one old shard follow
+    each other by block, then at."""
+    spark = base.sparkSession
+    found = {r.old: r.w for r in base.groupBy("old").agg(F.sum("w").alias("w")).collect()}  # n_old + 1 rows
+    sizes = [int(found.get(i, 0)) for i in range(n_old + 1)]
+    least = max(1, sum(sizes) // n_new // BIG_SHARE)
+    big = sorted(base.filter(F.col("w") > least).select("block", "at", "old", "w").collect())  # at most (BIG_SHARE + 1) * n_new rows
+    at, arcs = plan(sizes, [(k, r.old, r.w) for k, r in enumerate(big)], n_new, [*(cost or move_cost(n_old, n_new)), [1] * n_new])
+    alone = spark.createDataFrame([(big[k].block, big[k].at, j) for k, j in at.items()], base.select("block", "at", F.lit(0).alias("_alone")).schema)
+    to = spark.createDataFrame(arcs, "_o int, _shard int, _from long, _to long")
+    rows = base.join(F.broadcast(alone), ["block", "at"], "left").withColumn("_small", F.when(F.col("_alone").isNull(), F.col("w")).otherwise(F.lit(0)))
+    blocks = rows.groupBy("old", "block").agg(F.sum("_small").alias("_bytes"))
+    before = blocks.select("old", "block", (F.sum("_bytes").over(W.partitionBy("old").orderBy("block")) - F.col("_bytes")).alias("_before"))
+    run = F.sum("_small").over(W.partitionBy("old", "block").orderBy("at")) - F.col("_small")
+    rows = rows.withColumn("_run", run).join(before, ["old", "block"]).withColumn("_mid", F.expr("_before + _run + _small div 2"))
+    inside = (F.col("old") == F.col("_o")) & F.col("_alone").isNull() & (F.col("_mid") >= F.col("_from")) & (F.col("_mid") < F.col("_to"))
+    rows = rows.join(F.broadcast(to), inside, "left").withColumn("shard", F.coalesce("_alone", "_shard"))
+    return rows.select(*base.columns, "shard"), arcs
+
+
+def _ranked(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """placed plus the rank of a row among those of its shard, old shard and block; and how many rows of the shard lie before
+    these (shard, old, block, offset)."""
+    piece = ["shard", "old", "block"]
+    counts = placed.groupBy(*piece).agg(F.count(F.lit(1)).alias("n"))
+    offset = counts.select(*piece, (F.sum("n").over(W.partitionBy("shard").orderBy("old", "block")) - F.col("n")).alias("offset"))
+    return placed.withColumn("rank", F.row_number().over(W.partitionBy(*piece).orderBy("at")) - 1), offset
+
+
+def _known(old, n_old: int):
+    """The old shard, n_old where there is none."""
+    return F.when(old.between(0, n_old - 1), old).otherwise(F.lit(n_old)).cast("int")
+
+
 def assign(rows: DataFrame, size: str, old: str, n_old: int, n_new: int, cost: list[list[int]] | None = None) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
     """rows (with a size and an old shard below n_old) plus shard int and slot long, gapless from 0 in each shard; and the arcs."""
-    spark = rows.sparkSession
-    columns = rows.columns  # a row weighs one byte at least, so that rows without bytes have a position too
-    base = stored(rows.withColumns({"_w": F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(1)).cast("long"), "_row": F.monotonically_increasing_id(), "_block": F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(N_BLOCKS)).cast("int")}), "reshard")
-    found = {r[0]: r[1] for r in base.groupBy(old).agg(F.sum("_w")).collect()}  # n_old rows
-    sizes = [int(found.get(i, 0)) for i in range(n_old)]
-    least = max(1, sum(sizes) // n_new // BIG_SHARE)
-    big = [tuple(r) for r in base.filter(F.col("_w") > least).select("_row", old, "_w").collect()] if found else []  # at most (BIG_SHARE + 1) * n_new rows
-    at, arcs = plan(sizes, big, n_new, cost)
-    to = spark.createDataFrame([(i, j, a, b) for i, j, a, b in arcs], "_o int, _shard int, _from long, _to long")
-    alone = spark.createDataFrame(list(at.items()), "_row long, _shard int")
-    small = base.filter(F.col("_w") <= least)
-    blocks = small.groupBy(old, "_block").agg(F.sum("_w").alias("_bytes"))
-    before = blocks.select(old, "_block", (F.sum("_bytes").over(W.partitionBy(old).orderBy("_block")) - F.col("_bytes")).alias("_before"))
-    run = F.sum("_w").over(W.partitionBy(old, "_block").orderBy("_row")) - F.col("_w")
-    placed = small.withColumn("_run", run).join(before, [old, "_block"]).withColumn("_mid", F.col("_before") + F.col("_run") + F.expr(f"_w div 2"))
-    moved = placed.join(F.broadcast(to), (F.col(old) == F.col("_o")) & (F.col("_mid") >= F.col("_from")) & (F.col("_mid") < F.col("_to"))).select(*columns, "_row", "_block", "_shard")
-    kept = base.join(F.broadcast(alone), "_row").select(*columns, "_row", "_block", "_shard")
-    all_rows = moved.unionByName(kept)
-    piece = [F.col("_shard"), F.col(old), F.col("_block")]
-    counts = all_rows.groupBy(*piece).agg(F.count(F.lit(1)).alias("_n"))
-    offset = counts.select(*piece, (F.sum("_n").over(W.partitionBy("_shard").orderBy(old, "_block")) - F.col("_n")).alias("_offset"))
-    rank = F.row_number().over(W.partitionBy(*piece).orderBy("_row")) - 1
-    out = all_rows.withColumn("_rank", rank).join(offset, ["_shard", old, "_block"])
-    return out.select(*columns, F.col("_shard").alias(unused(rows, "shard")), (F.col("_offset") + F.col("_rank")).cast("long").alias(unused(rows, "slot"))), arcs
+    number = F.monotonically_increasing_id()
+    weight = F.greatest(F.coalesce(F.col(f"`{size}`"), F.lit(0)), F.lit(1)).cast("long")  # one byte at least, so that each row has a position
+    base = stored(rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), _known(F.col(f"`{old}`"), n_old).alias("old"), F.pmod(F.xxhash64(number), F.lit(N_BLOCKS)).cast("int").alias("block"), number.alias("at"), weight.alias("w")), "reshard")
+    placed, arcs = _placed(base, n_old, n_new, cost)
+    ranked, offset = _ranked(placed)
+    out = ranked.join(offset, ["shard", "old", "block"])
+    return out.select("row.*", F.col("shard").alias(unused(rows, "shard")), (F.col("offset") + F.col("rank")).cast("long").alias(unused(rows, "slot"))), arcs
+
+
+def transfers(rows: DataFrame, file: str, at: str, old: str, size: str, n_old: int, n_new: int) -> DataFrame:
+    """(file, lo, hi, old, shard, slot): the rows lo to hi of a file go to a shard, where lo gets that slot. At most one range
+    per file and arc, and two per large row."""
+    weight = F.greatest(F.coalesce(F.expr(size), F.lit(0)), F.lit(1)).cast("long")
+    base = rows.select(_known(F.col(old), n_old).alias("old"), F.struct(F.col(file).alias("file"), F.expr(f"`{at}` div {BLOCK_ROWS}").alias("n")).alias("block"), F.col(at).alias("at"), weight.alias("w"))
+    ranked, offset = _ranked(_placed(stored(base, "sizes"), n_old, n_new, None)[0])
+    runs = ranked.groupBy("shard", "old", "block", (F.col("at") - F.col("rank")).alias("run")).agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.min("rank").alias("rank"))
+    runs = runs.join(offset, ["shard", "old", "block"]).withColumn("slot", F.col("offset") + F.col("rank"))
+    whole = runs.groupBy(F.col("block")["file"].alias("file"), "old", "shard", (F.col("slot") - F.col("lo")).alias("run")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("slot").alias("slot"))
+    return whole.select("file", "lo", "hi", "old", "shard", F.col("slot").cast("long").alias("slot"))
 
 
 def rewrite(spark: SparkSession, layout: dict[int, str], n_new: int, size_expr: str, out: str | None = None) -> dict[int, str]:
     """Reshard Parquet shards {number: path} into n_new shards of near equal size_expr. Only shards that some row leaves
     or enters are written anew, under out, with each row's SLOT; the others keep their files. Returns the new
-    {number: path}. Sizes alone are planned; a row is told by its file and place there, and its columns move once."""
+    {number: path}."""
     out = out or fresh_path(spark, "layout")
-    rows = _shards(spark, layout)
-    placed, _ = assign(rows.select("_file", "_at", "_old", F.expr(size_expr).cast("long").alias("_size")), "_size", "_old", max(layout) + 1, n_new)
-    placed = stored(placed.withColumnsRenamed({"shard": SHARD, "slot": SLOT}), "placed")
-    moves = placed.groupBy("_old", SHARD).agg(F.sum("_size"), F.count(F.lit(1))).collect()  # n_old * n_new rows at most
-    touched = sorted({x for i, j, _, _ in moves if i != j for x in (i, j)} | (set(range(n_new)) - set(layout)))
-    piece = max(1, PIECE_BYTES * sum(m[3] for m in moves) // max(1, sum(m[2] or 0 for m in moves)))
-    todo = placed.filter(F.col(SHARD).isin(touched)).drop("_size", "_old")
-    moved = rows.drop(SLOT).join(todo, ["_file", "_at"]).withColumn("_piece", F.expr(f"{SLOT} div {piece}"))
-    moved.repartition(F.col(SHARD), F.col("_piece")).sortWithinPartitions(SHARD, SLOT).drop("_file", "_at", "_old", "_piece").write.option("compression", "zstd").partitionBy(SHARD).parquet(out)
+    rows, file, at, old = _shards(spark, layout)
+    ranges = stored(transfers(rows, file, at, old, size_expr, max(layout) + 1, n_new), "transfers")
+    moves = ranges.select("old", "shard").distinct().collect()  # n_old * n_new rows at most
+    touched = sorted({x for i, j in moves if i != j for x in (i, j)} | (set(range(n_new)) - set(layout)))
+    todo = ranges.filter(F.col("shard").isin(touched)).select(F.struct("file", "lo", "hi", "shard", "slot").alias("_to"))
+    moved = rows.join(F.broadcast(todo), (F.col(file) == F.col("_to")["file"]) & F.col(at).between(F.col("_to")["lo"], F.col("_to")["hi"]))
+    own = [c for c in rows.columns if c not in (file, at, old, SHARD, SLOT)]
+    moved = moved.select(*(F.col(f"`{c}`") for c in own), F.col("_to")["shard"].alias(SHARD), (F.col("_to")["slot"] + F.col(at) - F.col("_to")["lo"]).alias(SLOT))
+    moved.sortWithinPartitions(SHARD, SLOT).write.option("compression", "zstd").partitionBy(SHARD).parquet(out)
     kept = {k: p for k, p in layout.items() if k < n_new and k not in touched}
     new = kept | {k: f"{out}/{SHARD}={k}" for k in sorted({m[1] for m in moves} & set(touched))}
     spark.createDataFrame([(json.dumps(new, sort_keys=True),)], "value string").coalesce(1).write.text(f"{out}/_manifest")
     return dict(sorted(new.items()))
 
 
-def _shards(spark: SparkSession, layout: dict[int, str]) -> DataFrame:
-    """The rows of all shards, with _old (the shard), and _file and _at, which tell a row."""
-    parts = [spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"), F.lit(k).alias("_old")) for k, path in sorted(layout.items())]
-    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+def _shards(spark: SparkSession, layout: dict[int, str]) -> tuple[DataFrame, str, str, str]:
+    """The rows of all shards, and the names of three more columns: file and place, which tell a row, and the shard."""
+    parts = {k: spark.read.parquet(path) for k, path in sorted(layout.items())}
+    taken = spark.createDataFrame([], ", ".join(f"`{c}` int" for c in dict.fromkeys(c for p in parts.values() for c in p.columns)))
+    file, at, old = (unused(taken, x) for x in ("reshard_file", "reshard_at", "reshard_old"))
+    told = [p.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at), F.lit(k).alias(old)) for k, p in parts.items()]
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), told), file, at, old
 
 
 def read_layout(spark: SparkSession, layout: dict[int, str]) -> DataFrame:
     """The rows of a layout that rewrite() returned, with SHARD and SLOT. A shard that no rewrite touched is numbered in the
     order of its files."""
-    rows = _shards(spark, layout).withColumnRenamed("_old", SHARD)
-    order = F.row_number().over(W.partitionBy(SHARD).orderBy("_file", "_at")) - 1
+    rows, file, at, old = _shards(spark, layout)
+    rows = rows.withColumnRenamed(old, SHARD)
+    order = F.row_number().over(W.partitionBy(SHARD).orderBy(file, at)) - 1
     if SLOT not in rows.columns:
-        return rows.withColumn(SLOT, order.cast("long")).drop("_file", "_at")
+        return rows.withColumn(SLOT, order.cast("long")).drop(file, at)
     done = [k for k, path in layout.items() if SLOT not in spark.read.parquet(path).columns]
     if not done:
-        return rows.drop("_file", "_at")
+        return rows.drop(file, at)
     plain = rows.filter(F.col(SHARD).isin(done)).withColumn(SLOT, order.cast("long"))
-    return rows.filter(~F.col(SHARD).isin(done)).unionByName(plain).drop("_file", "_at")
+    return rows.filter(~F.col(SHARD).isin(done)).unionByName(plain).drop(file, at)

@@ -19,9 +19,12 @@ OUT_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, one machine), a temporary one."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one on a single machine (tests); on a cluster an
+    error, since executors wouldn't see it."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         folder = tempfile.mkdtemp(prefix="fleetgauge-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -91,8 +94,3 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
-
-
-def null_key(c: str):
-    """Join keys that treat null as a value."""
-    return F.struct(F.col(c).isNull().alias("none"), F.coalesce(F.col(c), F.lit(0)).alias("value"))

@@ -1,20 +1,24 @@
 """Training order on disk: token sequences at the slots of a keyed permutation, in fixed-stride shards.
 
-Documents become token ids (and an end id), cut into sequences of STRIDE ids, the last one padded. The sequences are
-stored once, numbered without gaps from the partitions' counts, and a Feistel network over the least even number of
-bits that holds all numbers, with cycle-walking past those outside, maps each number to a slot. The permutation needs
-no table, is the same on every machine, and has an inverse. Rows are then partitioned by ranges of slots; each shard
-holds ROWS consecutive slots in order, STRIDE * 2 bytes each, so a reader seeks to any slot with one division.
-
-Scale: one shuffle, of the id rows by range; hot sources and copies spread evenly since slots are pseudorandom. A shard
-is written by one task under a name of its own and renamed when complete, so lost and repeated tasks leave whole shards.
-
-Cases: null and empty texts are one sequence, the end id. Repeated rows are sequences of their own. An empty table gives
-no row and no shard. Documents of any length are cut, one document in memory at a time.
+Documents become token ids (and an end id) and follow each other, within a task, in sequences of STRIDE ids; only a
+task's last one is padded. The sequences are stored once, numbered without gaps from the partitions' counts, and a
+Feistel network over the least even number of bits that holds all numbers, with cycle-walking past those outside,
+maps each number to a slot. The permutation needs no table, is the same on every machine, and has an inverse. A shard
+is a range of ROWS consecutive slots: the sequences go to the task of their shard, which writes them in order, STRIDE * 2
+bytes each, so a reader seeks to any slot with one division.
+
+Scale: one shuffle, of the id rows, each to the shard that one division gives; slots are pseudorandom, so hot sources and
+copies spread evenly and all shards but the last are equally large. A shard is written by one task under a name of its own and
+renamed when complete, so lost and repeated tasks leave whole shards.
+
+Cases: null and empty texts are the end id alone. Repeated rows and ties are written each. An empty table gives
+no row and no shard. Documents of any length are cut, one document in memory at a time. Only id and text are read, so
+other columns may have any name.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,8 +30,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from fleetgauge.llm.common import fresh_path, stored, struct
+from fleetgauge.llm.common import OUT_ROWS, fresh_path, packed, stored, struct
 from fleetgauge.llm.tokens import encode, encoder
 
 U = np.uint64
@@ -38,7 +43,7 @@ class OrderRules:
     """ids are written as little-endian uint16; the vocabulary has 50,257."""
 
     stride: int = 512
-    rows: int = 65_536
+    rows: int = 32_768
     end_id: int = 50_256
     pad_id: int = 50_256
     key: int = 20_240_601
@@ -82,37 +87,50 @@ def permuted(numbers: np.ndarray, n: int, key: int, rounds: int = 8, inverse: bo
 
 
 def sequences(docs: DataFrame, id_col: str, text_col: str, rules: OrderRules, vocabulary: str | None = None) -> DataFrame:
-    """(part, row, id, seq_no, n_tokens, ids_crc32, ids): the cut documents, numbered within the task that made them."""
-    schema = struct(("part", "int"), ("row", "long"), (f"`{id_col}`", docs.schema[id_col].dataType.simpleString()), ("seq_no", "int"), ("n_tokens", "int"), ("ids_crc32", "long"), ("ids", "binary"))
+    """(part, row, n_tokens, ids_crc32, docs, ids): sequences, numbered within the task that made them. docs tells which ids
+    of which documents: (doc, start, length), in their order."""
+    kind = docs.schema[id_col].dataType
+    schema = struct(("part", "int"), ("row", "long"), ("n_tokens", "int"), ("ids_crc32", "long"), ("docs", f"array<struct<doc:{kind.simpleString()},start:long,length:int>>"), ("ids", "binary"))
+    arrow = to_arrow_schema(schema)
 
     def run(batches):
         enc, part, made = encoder(vocabulary), TaskContext.get().partitionId(), 0
+        out: list[tuple] = []
+        held, pieces, n = [], [], 0  # the open sequence
+
+        def full():
+            raw = np.full(rules.stride, rules.pad_id, "<u2")
+            raw[:n] = np.concatenate(held)
+            raw = raw.tobytes()
+            return part, made, n, zlib.crc32(raw), pieces, raw
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                chunk = batch.slice(at, 200)
-                doc, number, used, raw = [], [], [], []
-                for i, text in enumerate(chunk.column(1)):
-                    ids = np.append(encode(enc, text.as_py() or ""), np.uint32(rules.end_id)).astype("<u2")
-                    full = np.full(-(-len(ids) // rules.stride) * rules.stride, rules.pad_id, "<u2")
-                    full[: len(ids)] = ids
-                    for k, a in enumerate(range(0, len(full), rules.stride)):
-                        doc.append(i)
-                        number.append(k)
-                        used.append(min(rules.stride, len(ids) - a))
-                        raw.append(full[a : a + rules.stride].tobytes())
-                n = len(doc)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * n, pa.int32()), pa.array(range(made, made + n), pa.int64()), chunk.column(0).take(pa.array(doc, pa.int64())), pa.array(number, pa.int32()), pa.array(used, pa.int32()), pa.array(map(zlib.crc32, raw), pa.int64()), pa.array(raw, pa.binary())],
-                    ["part", "row", id_col, "seq_no", "n_tokens", "ids_crc32", "ids"],
-                )
-                made += n
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+                doc = doc.as_py()
+                ids = np.append(encode(enc, text.as_py() or ""), np.uint32(rules.end_id)).astype("<u2")
+                at = 0
+                while at < len(ids):
+                    take = min(rules.stride - n, len(ids) - at)
+                    held.append(ids[at : at + take])
+                    pieces.append({"doc": doc, "start": at, "length": take})
+                    n, at = n + take, at + take
+                    if n == rules.stride:
+                        out.append(full())
+                        held, pieces, n, made = [], [], 0, made + 1
+                        if len(out) >= OUT_ROWS:
+                            yield packed(out, arrow)
+                            out = []
+        if n:
+            out.append(full())
+        if out:
+            yield packed(out, arrow)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def ordered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: OrderRules | None = None, vocabulary: str | None = None) -> DataFrame:
-    """Rows id, seq_no, n_tokens, ids_crc32, ids, slot, shard, at (the row's place in its shard); range-partitioned by
-    shard and sorted by slot."""
+def ordered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: OrderRules | None = None, vocabulary: str | None = None) -> tuple[DataFrame, int]:
+    """Rows slot, shard, at (the row's place in its shard), n_tokens, ids_crc32, docs, ids, partitioned by shard and sorted by slot;
+    and their number."""
     rules = rules or OrderRules()
     cut = stored(sequences(docs, id_col, text_col, rules, vocabulary), "sequences")
     counts = stored(cut.groupBy("part").agg(F.count(F.lit(1)).alias("n")), "sequence-counts")  # one row per input task
@@ -125,57 +143,62 @@ def ordered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
 
         return pd.Series(permuted(number.to_numpy(), n, rules.key, rules.rounds))
 
-    placed = cut.join(before, "part").withColumn("slot", slot_of(F.col("before") + F.col("row"))).drop("part", "row", "before")
-    placed = placed.withColumns({"shard": F.expr(f"cast(slot div {rules.rows} as int)"), "at": F.expr(f"cast(slot % {rules.rows} as int)")})
-    tasks = max(1, -(-n // rules.rows), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return placed.repartitionByRange(tasks, "slot").sortWithinPartitions("slot")
+    placed = cut.join(F.broadcast(before), "part").withColumn("slot", slot_of(F.col("before") + F.col("row")))
+    placed = placed.select("slot", F.expr(f"cast(slot div {rules.rows} as int)").alias("shard"), F.expr(f"cast(slot % {rules.rows} as int)").alias("at"), "n_tokens", "ids_crc32", "docs", "ids")
+    return placed.repartitionById(max(1, -(-n // rules.rows)), "shard").sortWithinPartitions("slot"), n
 
 
-def write_shards(rows: DataFrame, path: str | None = None, rules: OrderRules | None = None) -> DataFrame:
-    """Write ordered() as raw files <path>/shard-000000.bin, one task per run of shards. Returns the stored manifest
-    (shard, file, first_slot, n_rows, crc32)."""
-    rules, spark = rules or OrderRules(), rows.sparkSession
-    path = path or fresh_path(spark, "training-order")
-    last = rows.agg(F.max("shard")).first()[0]
+def materialise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: OrderRules | None = None, vocabulary: str | None = None, path: str | None = None) -> tuple[DataFrame, str]:
+    """Write ordered() as raw files <path>/shard-000000.bin. Returns the stored rows without their ids (slot, shard, at,
+    n_tokens, ids_crc32, docs), and the folder; manifest.json there tells stride, rows a shard and number of sequences."""
+    rules = rules or OrderRules()
+    path = path or fresh_path(docs.sparkSession, "training-order")
+    rows, n = ordered(docs, id_col, text_col, rules, vocabulary)
+    index = rows.drop("ids").schema
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        store, base = folder_of(path)
         store.create_dir(base, recursive=True)
-        shard, out, temporary, n, first, crc = None, None, "", 0, 0, 0
+        shard, out, temporary = None, None, ""
 
         def close():
             out.close()
-            name = f"{base}/shard-{shard:06d}.bin"
-            store.move(temporary, name)
-            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [name], "first_slot": pa.array([first], pa.int64()), "n_rows": pa.array([n], pa.int64()), "crc32": pa.array([crc], pa.int64())})
+            store.move(temporary, f"{base}/shard-{shard:06d}.bin")
 
         for batch in batches:
-            for s, slot, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if s != shard:
+            numbers = batch.column("shard").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1), batch.num_rows]
+            for a, b in zip(edges, edges[1:]):
+                if b > a and numbers[a] != shard:
                     if out:
-                        yield close()
-                    shard, n, first, crc = s, 0, slot, 0
-                    temporary = f"{base}/.{uuid.uuid4().hex}"
+                        close()
+                    shard, temporary = int(numbers[a]), f"{base}/.{uuid.uuid4().hex}"
                     out = store.open_output_stream(temporary)
-                out.write(ids)
-                n, crc = n + 1, zlib.crc32(ids, crc)
+                for raw in batch.column("ids")[a:b]:
+                    out.write(raw.as_buffer())
+            yield batch.drop_columns(["ids"])
         if out:
-            yield close()
+            close()
 
-    if last is None:
-        return spark.createDataFrame([], "shard int, file string, first_slot long, n_rows long, crc32 long")
-    ranged = rows.select("shard", "slot", "ids").repartitionByRange(last + 1, "shard").sortWithinPartitions("slot")
-    return stored(ranged.mapInArrow(run, "shard int, file string, first_slot long, n_rows long, crc32 long"), "manifest")
+    written = stored(rows.mapInArrow(run, index), "training-order-index")
+    store, base = folder_of(path)
+    store.create_dir(base, recursive=True)
+    with store.open_output_stream(f"{base}/manifest.json") as f:
+        f.write(json.dumps({"sequences": n, "stride": rules.stride, "rows": rules.rows, "key": rules.key, "rounds": rules.rounds}).encode())
+    return written, path
 
 
-def read_from(folder: str, slot: int, rules: OrderRules | None = None) -> Iterator[np.ndarray]:
-    """Sequences from a slot on, in training order: what a reader does when it resumes."""
+def folder_of(path: str):
+    """File system and folder of a path or URI."""
     from pyarrow import fs
 
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
+def read_from(folder: str, slot: int, rules: OrderRules | None = None) -> Iterator[np.ndarray]:
+    """Sequences from a slot on, in training order: what a reader does when it resumes."""
     rules = rules or OrderRules()
-    store, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    store, base = folder_of(folder)
     size = rules.stride * 2
     shard, at = divmod(slot, rules.rows)
     while store.get_file_info(name := f"{base}/shard-{shard:06d}.bin").is_file:

@@ -18,7 +18,6 @@ from tests.llm.conftest import HARD
 @pytest.fixture(scope="module")
 def reference():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda s: t.encode(s, add_special_tokens=False).ids
 
 
@@ -28,7 +27,29 @@ def test_ids(reference, text):
     assert tokens.encode(tokens.encoder(), text).tolist() == reference(text)
 
 
-@pytest.mark.parametrize("text", ["<|endoftext|> it's 12 x ", "a  b\n\n c\t", " \n", "é²½ 一二", "x" * 3000])
+@pytest.fixture(scope="module")
+def as_text():
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    return lambda s: t.encode(s, add_special_tokens=False).ids
+
+
+pieces = st.lists(st.sampled_from(["<|endoftext|>", "<|", "endoftext", "|>", " ", "a", "\n", "b c", "é", "<|endoftext|"]), max_size=12).map("".join)
+
+
+@settings(max_examples=200, deadline=None)
+@given(pieces)
+def test_strings_of_added_tokens(reference, as_text, text):
+    assert tokens.encode(tokens.encoder(), text).tolist() == reference(text)
+    assert tokens.encode(tokens.encoder(literal=True), text).tolist() == as_text(text)
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    with pytest.raises(ValueError):
+        tokens.encoder(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@pytest.mark.parametrize("text", ["<|endoftext|> it's 12 x ", "a <|endoftext|> b", "a  b\n\n c\t", " \n", "é²½ 一二", "x" * 3000])
 def test_ids_of_odd_texts(reference, text):
     assert tokens.encode(tokens.encoder(), text).tolist() == reference(text)
 
@@ -54,7 +75,7 @@ def test_differencing_beats_dealing():
 
 
 def test_sequences(docs_of, reference):
-    rows = [r for r in HARD if r[0] != 5] + [(i, f"document {i} " * (i * 7)) for i in range(10, 60)]
+    rows = HARD + [(i, f"document {i} " * (i * 7)) for i in range(10, 60)]
     got = [r.asDict() for r in kk.sequences(docs_of(rows)).collect()]
     by = {}
     for r in got:
@@ -81,17 +102,28 @@ def test_permutation(n):
     assert sorted(p) == list(range(n)) and (fo.permuted(p, n, 5, inverse=True) == np.arange(n)).all()
 
 
-def test_shards_round_trip(spark, docs_of, reference, tmp_path):
+def test_shards_round_trip(docs_of, reference, tmp_path):
     rules = fo.OrderRules(stride=16, rows=10)
-    rows = [(i, f"text number {i} " * i) for i in range(40)] + [(100, None), (101, "")]
-    placed = fo.ordered(docs_of(rows), rules=rules).cache()
-    table = sorted(placed.collect(), key=lambda r: r.slot)
+    rows = [(i, f"text number {i} " * i) for i in range(40)] + [(100, None), (101, ""), (102, "very long text " * 3000), (None, "x"), (None, "x")]
+    index, folder = fo.materialise(docs_of(rows), rules=rules, path=str(tmp_path / "out"))
+    table = sorted(index.collect(), key=lambda r: r.slot)
     assert [r.slot for r in table] == list(range(len(table))) and all((r.shard, r["at"]) == divmod(r.slot, 10) for r in table)
+    stored = [x.copy() for x in fo.read_from(folder, 0, rules)]
+    assert len(stored) == len(table) and all(zlib.crc32(x.tobytes()) == r.ids_crc32 for x, r in zip(stored, table))
+    found = {}
+    for ids, r in zip(stored, table):
+        at = 0
+        for p in r.docs:
+            found.setdefault(p.doc, []).append((p.start, ids[at : at + p.length].tolist()))
+            at += p.length
+        assert at == r.n_tokens and all(ids[at:] == rules.pad_id)
+    assert sum(r.n_tokens < 16 for r in table) <= 3  # one padded sequence a task
     for i, t in rows:
-        ids = [x for r in sorted((r for r in table if r.doc_id == i), key=lambda r: r.seq_no) for x in np.frombuffer(r.ids, "<u2")[: r.n_tokens]]
-        assert ids == [*reference(t or ""), rules.end_id]
-    manifest = fo.write_shards(placed, str(tmp_path / "out"), rules)
-    assert manifest.groupBy().sum("n_rows").first()[0] == len(table)
-    for start in (0, 7, len(table) - 1):
-        assert [x.tobytes() for x in fo.read_from(str(tmp_path / "out"), start, rules)] == [bytes(r.ids) for r in table[start:]]
-    assert fo.ordered(docs_of([(1, "x")]).limit(0)).count() == 0
+        if i is not None:
+            assert [x for _, part in sorted(found[i]) for x in part] == [*reference(t or ""), rules.end_id]
+    assert sorted(found[None]) == [(0, [*reference("x"), rules.end_id])] * 2
+    for start in (7, len(table) - 1):
+        assert [x.tobytes() for x in fo.read_from(folder, start, rules)] == [x.tobytes() for x in stored[start:]]
+    again, other = fo.materialise(docs_of(rows), rules=rules, path=str(tmp_path / "again"))
+    empty, folder = fo.materialise(docs_of([(1, "x")]).limit(0), rules=rules, path=str(tmp_path / "none"))
+    assert empty.count() == 0 and list(fo.read_from(folder, 0, rules)) == []

@@ -16,7 +16,7 @@ from fleetgauge.llm.common import stored, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the compression bands reject go."""
-    return compression_bands.keep_good(docs)
+    return compression_bands.keep_good(docs, rules=compression_bands.fitted(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

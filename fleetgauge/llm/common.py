@@ -71,6 +71,26 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[..., Iterable[tuple
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def extended(df: DataFrame, read: list[str], fn: Callable[..., tuple], fields: list[T.StructField], drop: tuple[str, ...] = ()) -> DataFrame:
+    """df with columns made row by row: fn(*values of read) gives the values of fields. A field that df has takes its place,
+    others follow; columns in drop go. All other columns stay Arrow arrays and aren't looked at."""
+    made = [f.name for f in fields]
+    own = [f for f in df.schema.fields if f.name not in drop]
+    schema = T.StructType([*(next((n for n in fields if n.name == f.name), f) for f in own), *(f for f in fields if f.name not in df.columns)])
+    arrow, at = to_arrow_schema(schema), {c: i for i, c in enumerate(df.columns)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, OUT_ROWS):
+                part = batch.slice(a, OUT_ROWS)
+                cols = [part.column(at[c]) for c in read]
+                out = list(zip(*(fn(*(c[i].as_py() for c in cols)) for i in range(part.num_rows)), strict=True))
+                new = {n: pa.array(x, arrow.field(n).type) for n, x in zip(made, out, strict=True)}
+                yield pa.RecordBatch.from_arrays([new[n] if n in new else part.column(at[n]) for n in arrow.names], arrow.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def packed(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) if rows else [[] for _ in arrow]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)

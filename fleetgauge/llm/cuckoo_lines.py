@@ -1,20 +1,23 @@
 """Line dedup with sharded cuckoo filters over exact reference-count tables.
 
-A line's key is 16 bytes of xxh3 over the normalised line. A table counts the documents that hold each key; keys
-counted often enough go into cuckoo filters, one per shard of the key space. The filters are small and answer
-"perhaps" or "no" per line, so that only lines that may be frequent are shuffled again; those are then counted
-exactly, per (key, document), and the filters' false hits fall out. The result doesn't depend on the filters.
+A line's key is 16 bytes of xxh3 over the normalised line. LineIndex holds, for all documents inserted and not deleted
+again: the references (key, document, how often), summed from +1 of insertions and -1 of deletions; the exact counts of
+the keys that enough documents hold, and the last of these documents; and cuckoo filters of those keys, one per shard
+of the key space. A change writes the new references, counts them, and inserts into the filters the keys that became
+frequent and deletes those that ceased to be, so deleting a batch gives back the index that was there before it.
 
-LineIndex keeps the same state between batches: a log of +1 / -1 references per (key, document), whose sums are the
-exact counts, and cuckoo filters of all live keys, which support deletion. Inserting a document and deleting it again
-gives back the counts that were there before.
+Which lines go is decided by the index: references are sent to their shard, whose filter says "perhaps" or "no"; what
+may be frequent is joined with the exact counts, where false hits fall out. The result doesn't depend on the filters.
 
-Scale: every count is combined before it shuffles; a line held by a third of all documents is one row per task. Filters
-are sent to the tasks while their total is at most FILTER_BYTES; beyond that lines go to the exact count without them.
+Scale: references are 24 bytes, without text; counts are combined before they shuffle. Shards follow the number of
+frequent keys (PER_SHARD each), and a shard's references are probed in as many groups, told apart by document, as keep a
+group at some GROUP_ROWS, so a line held by a third of all documents is split, and no filter is sent to every task. The plan is the same at
+every size. Texts move once, to meet the keys that they lose.
 
 Cases: null and empty texts are one empty line. Rows that repeat a doc_id are the same document: a key counts once
 for it, and all of them keep the line if it is the largest. A null doc_id counts as one document, smaller than all others.
-Very long texts are read whole, one document at a time.
+Ids may be of any ordered type. Very long texts are read whole, one document at a time. An empty table gives an empty
+result. Columns of the table keep their names and values; ours get an underscore where a name is taken.
 """
 
 from __future__ import annotations
@@ -28,12 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetgauge.llm.common import fresh_path, map_rows, stored, struct, unused
+from fleetgauge.llm.common import extended, fresh_path, map_rows, stored, struct, unused
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
-FILTER_BYTES = 64 << 20
-#: Frequent keys are joined by broadcast up to so many (some 60 bytes each), beyond that by a shuffle.
-BROADCAST_KEYS = 500_000
+PER_SHARD = 100_000
+GROUP_ROWS = 500_000
 SLOTS = 4
 FULL = 0.85
 
@@ -144,109 +146,57 @@ def references(docs: DataFrame, id_col: str, text_col: str, rules: LineRules) ->
     return map_rows(docs, [id_col, text_col], lines, struct(("doc", docs.schema[id_col].dataType.simpleString()), ("key", "binary")))
 
 
-def build_filters(keys: DataFrame, shards: int) -> DataFrame:
-    """(shard, n_keys, filter) of a table of distinct keys."""
+def shards_for(n_keys: int, per_shard: int | None = None) -> int:
+    return max(1, -(-n_keys // (per_shard or PER_SHARD)))
+
+
+FILTERS = "shard int, n_keys long, filter binary"
+
+
+def changed(filters: DataFrame | None, changes: DataFrame, keys: DataFrame) -> DataFrame:
+    """filters with the keys of changes (shard, key, add) inserted or deleted. A filter that overflows is built again, larger,
+    from the exact keys (shard, key) of its shard."""
+
+    def merge(key: tuple, old: pa.Table, new: pa.Table) -> pa.Table:
+        f, n = (CuckooFilter.load(old.column("filter")[0].as_py()), old.column("n_keys")[0].as_py()) if old.num_rows else (CuckooFilter(new.num_rows), 0)
+        fits = True
+        for k, add in sorted(zip(new.column("key").to_pylist(), new.column("add").to_pylist(), strict=True), key=lambda x: (x[1], x[0])):
+            n += 1 if add else -1
+            fits = fits and (f.insert(k) if add else f.delete(k))
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "n_keys": pa.array([n], pa.int64()), "filter": pa.array([f.dump() if fits else None], pa.binary())})
 
     def build(group: pa.Table) -> pa.Table:
         ks = sorted(group.column("key").to_pylist())
-        return pa.table({"shard": pa.array([group.column("shard")[0].as_py()], pa.int32()), "n_keys": [len(ks)], "filter": pa.array([CuckooFilter.of(ks).dump()], pa.binary())})
-
-    return keys.select(shard_of("key", shards).alias("shard"), "key").groupBy("shard").applyInArrow(build, "shard int, n_keys long, filter binary")
-
-
-def shards_for(n_keys: int, per_shard: int = 100_000) -> int:
-    return max(1, -(-n_keys // per_shard))
-
-
-def probe(docs: DataFrame, id_col: str, text_col: str, rules: LineRules, filters, shards: int) -> DataFrame:
-    """references() without the keys that no filter knows."""
-
-    def load() -> list[CuckooFilter | None]:
-        found: list[CuckooFilter | None] = [None] * shards
-        for shard, raw in filters.value:
-            found[shard] = CuckooFilter.load(raw)
-        return found
-
-    def lines(doc, text, loaded):
-        seen = [k for k in {line_key(line, rules.least_chars) for line in (text or "").split("\n")} if k]
-        if not seen:
-            return
-        keys = np.frombuffer(b"".join(seen), np.uint8).reshape(-1, 16)
-        at = keys[:, 12:16].copy().view(">u4").ravel() % shards
-        for shard in np.unique(at):
-            if loaded[shard] is not None:
-                mine = np.flatnonzero(at == shard)
-                for i in mine[loaded[shard].contains_all(keys[mine])]:
-                    yield doc, seen[i]
-
-    return map_rows(docs, [id_col, text_col], lines, struct(("doc", docs.schema[id_col].dataType.simpleString()), ("key", "binary")), load)
-
-
-def drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: LineRules | None = None) -> DataFrame:
-    """(doc, drop): per document with lines to lose, the keys it loses. A document's keys are bounded by its length."""
-    rules, spark = rules or LineRules(), docs.sparkSession
-    refs = references(docs, id_col, text_col, rules)
-    likely = refs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= rules.least_docs).select("key")
-    likely = stored(likely, "likely-lines")  # a count of rows is at least the count of documents
-    n = likely.count()
-    small = 8 * n <= FILTER_BYTES  # two bytes a mark, and a table at most four times its marks
-    if small:
-        shards = shards_for(n)
-        filters = spark.sparkContext.broadcast([(r.shard, r.filter) for r in build_filters(likely, shards).collect()])
-        refs = probe(docs, id_col, text_col, rules, filters, shards)
-    else:
-        refs = refs.join(likely, "key", "left_semi")
-    refs = stored(refs, "line-references")
-    keys = refs.groupBy("key").agg(F.count_distinct(F.struct("doc")).alias("n"), F.max("doc").alias("last")).filter(F.col("n") >= rules.least_docs).select("key", "last")
-    lost = refs.join(F.broadcast(keys) if n <= BROADCAST_KEYS else keys, "key").filter(~F.col("doc").eqNullSafe(F.col("last")))
-    return lost.groupBy("doc").agg(F.collect_set("key").alias("drop"))
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: LineRules | None = None) -> DataFrame:
-    """docs, all columns, with text_col cut to the lines that stay, and n_lines and n_dropped (renamed if taken)."""
-    rules = rules or LineRules()
-    n_lines, n_dropped = unused(docs, "n_lines"), unused(docs, "n_dropped")
-    lost = drops(docs, id_col, text_col, rules).withColumnsRenamed({"doc": "_doc", "drop": "_drop"})
-    joined = docs.join(lost.hint("merge"), docs[id_col].eqNullSafe(lost["_doc"]), "left").drop("_doc")  # the same plan at every size
-    schema = T.StructType([*docs.schema.fields, T.StructField(n_lines, T.LongType()), T.StructField(n_dropped, T.LongType())])
-    columns, text_at = docs.columns, docs.columns.index(text_col)
-
-    def cut(*values):
-        *values, drop = values
-        lines = (values[text_at] or "").split("\n")
-        kept = lines
-        if drop:
-            gone = set(drop)
-            kept = [x for x in lines if line_key(x, rules.least_chars) not in gone]
-            values[text_at] = "\n".join(kept)
-        yield (*values, len(lines), len(lines) - len(kept))
-
-    return map_rows(joined, [*columns, "_drop"], cut, schema)
+        return pa.table({"shard": pa.array([group.column("shard")[0].as_py()], pa.int32()), "n_keys": pa.array([len(ks)], pa.int64()), "filter": pa.array([CuckooFilter.of(ks).dump()], pa.binary())})
+
+    before = filters if filters is not None else changes.sparkSession.createDataFrame([], FILTERS)
+    merged = stored(before.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(merge, FILTERS), "filters")
+    again = keys.join(merged.filter("filter IS NULL").select("shard"), "shard", "left_semi").groupBy("shard").applyInArrow(build, FILTERS)
+    return merged.filter("filter IS NOT NULL AND n_keys > 0").unionByName(again)
 
 
 class LineIndex:
-    """Reference counts and filters in the shared folder, changed by batches. Each change writes a new generation and
-    leaves the one before it; a failed batch changes nothing."""
+    """References, counts and filters in the shared folder, changed by batches. Each change writes a new generation and
+    leaves the one before it; a failed batch changes nothing. generation: the one to go on from, 0 for an empty index."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, shards: int = 16, rules: LineRules | None = None):
-        self.spark, self.path, self.shards, self.rules = spark, path or fresh_path(spark, "line-index"), shards, rules or LineRules()
-        self.generation = 0
+    def __init__(self, spark: SparkSession, path: str | None = None, rules: LineRules | None = None, generation: int = 0):
+        self.spark, self.path, self.rules = spark, path or fresh_path(spark, "line-index"), rules or LineRules()
+        self.generation = generation
 
-    def _read(self, what: str, schema: str) -> DataFrame:
-        if self.generation == 0:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{self.generation}/{what}")
+    def _read(self, what: str) -> DataFrame | None:
+        return self.spark.read.parquet(f"{self.path}/{self.generation}/{what}") if self.generation else None
 
-    def log(self) -> DataFrame:
-        """(key, doc, refs): live references."""
-        return self._read("refs", "key binary, doc long, refs long")
+    def references(self) -> DataFrame | None:
+        """(key, doc, refs): live references, each document and line once."""
+        return self._read("references")
 
-    def counts(self) -> DataFrame:
-        """(key, n_docs, last)."""
-        return self.log().groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("last"))
+    def counts(self) -> DataFrame | None:
+        """(key, n_docs, last): the keys held by enough documents."""
+        return self._read("counts")
 
-    def filters(self) -> DataFrame:
-        return self._read("filters", "shard int, n_keys long, filter binary")
+    def filters(self) -> DataFrame | None:
+        """(shard, n_keys, filter) of the keys in counts()."""
+        return self._read("filters")
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         self._change(references(docs, id_col, text_col, self.rules).withColumn("refs", F.lit(1).cast("long")))
@@ -256,42 +206,69 @@ class LineIndex:
         self._change(references(docs, id_col, text_col, self.rules).withColumn("refs", F.lit(-1).cast("long")))
 
     def _change(self, delta: DataFrame) -> None:
-        target = f"{self.path}/{self.generation + 1}"
-        before = self.log()
-        after = before.unionByName(delta.select("key", "doc", "refs")).groupBy("key", "doc").agg(F.sum("refs").alias("refs")).filter("refs > 0")
-        after.write.parquet(f"{target}/refs")
-        after = self.spark.read.parquet(f"{target}/refs")
-        was, now = before.select("key").distinct(), after.select("key").distinct()
-        added = now.join(was, "key", "left_anti").withColumn("add", F.lit(True))
-        gone = was.join(now, "key", "left_anti").withColumn("add", F.lit(False))
-        changes = added.unionByName(gone).withColumn("shard", shard_of("key", self.shards))
-
-        def merge(key: tuple, old: pa.Table, new: pa.Table) -> pa.Table:
-            """Deletes and inserts in the shard's filter; a filter that overflows is doubled from the exact table by the caller."""
-            f = CuckooFilter.load(old.column("filter")[0].as_py()) if old.num_rows else CuckooFilter(1024)
-            n = old.column("n_keys")[0].as_py() if old.num_rows else 0
-            for k, add in sorted(zip(new.column("key").to_pylist(), new.column("add").to_pylist(), strict=True)):
-                if n < 0:
-                    break
-                if add:
-                    n = n + 1 if f.insert(k) else -1
-                else:
-                    f.delete(k)
-                    n -= 1
-            return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "n_keys": pa.array([n], pa.int64()), "filter": pa.array([f.dump()], pa.binary())})
-
-        merged = stored(self.filters().groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(merge, "shard int, n_keys long, filter binary"), "filters")
-        full = [r.shard for r in merged.filter("n_keys < 0").select("shard").collect()]
-        rebuilt = build_filters(now.filter(shard_of("key", self.shards).isin(full)), self.shards)
-        merged.filter("n_keys >= 0").unionByName(rebuilt).write.parquet(f"{target}/filters")
+        target, (was, old) = f"{self.path}/{self.generation + 1}", (self.counts(), self.filters())
+        delta = delta.select("key", "doc", "refs")
+        rows = delta if self.generation == 0 else self.references().unionByName(delta)
+        self._write(rows.groupBy("key", "doc").agg(F.sum("refs").alias("refs")).filter("refs > 0"), f"{target}/references")
+        refs = self.spark.read.parquet(f"{target}/references")
+        self._write(refs.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("last")).filter(F.col("n_docs") >= self.rules.least_docs), f"{target}/counts")
+        now = self.spark.read.parquet(f"{target}/counts")
+        shards = shards_for(now.count())
+        keys = now.select(shard_of("key", shards).alias("shard"), "key")
+        if was is None or shards != shards_for(was.count()):  # other shards: all filters anew
+            old, added = None, keys.withColumn("add", F.lit(True))
+        else:
+            before = was.select(shard_of("key", shards).alias("shard"), "key")
+            added = keys.join(before, ["shard", "key"], "left_anti").withColumn("add", F.lit(True))
+            added = added.unionByName(before.join(keys, ["shard", "key"], "left_anti").withColumn("add", F.lit(False)))
+        self._write(changed(old, added, keys), f"{target}/filters")
         self.generation += 1
 
-    def may_hold(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """References of docs that the filters may know, to look up in the exact table; the others are surely new."""
-        filters = self.spark.sparkContext.broadcast([(r.shard, r.filter) for r in self.filters().collect()])
-        return probe(docs, id_col, text_col, self.rules, filters, self.shards)
-
-    def kept(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(doc, key) of docs that are to be dropped by the counts as they stand."""
-        keys = self.counts().filter(F.col("n_docs") >= self.rules.least_docs)
-        return self.may_hold(docs, id_col, text_col).join(keys, "key").filter(F.col("doc") < F.col("last")).select("doc", "key")
+    def _write(self, df: DataFrame, path: str) -> None:
+        df.write.option("compression", "zstd").parquet(path)
+
+    def likely(self) -> DataFrame:
+        """(key, doc): the live references that the filter of their shard may know."""
+        refs, filters = self.references(), self.filters()
+        shards = shards_for(self.counts().count())
+        groups = max(1, -(-refs.count() // (shards * GROUP_ROWS)))  # a shard's references by document, so that a hot line is split
+        kind = refs.schema["doc"].dataType.simpleString()
+        left = refs.select("key", "doc", shard_of("key", shards).alias("shard"), F.pmod(F.xxhash64("doc"), F.lit(groups)).cast("int").alias("part"))
+        right = filters.select("shard", "filter", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
+
+        def probe(rows: pa.Table, known: pa.Table) -> pa.Table:
+            rows = rows.select(["key", "doc"])
+            if not known.num_rows or not rows.num_rows:
+                return rows.slice(0, 0)
+            keys = np.frombuffer(b"".join(rows.column("key").to_pylist()), np.uint8).reshape(-1, 16)
+            return rows.filter(pa.array(CuckooFilter.load(known.column("filter")[0].as_py()).contains_all(keys)))
+
+        return left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInArrow(probe, f"key binary, doc {kind}")
+
+    def lost(self) -> DataFrame:
+        """(key, doc): the references that go, by the counts as they stand."""
+        joined = self.likely().join(self.counts().select("key", "last"), "key")
+        return joined.filter(~F.col("doc").eqNullSafe(F.col("last"))).select("key", "doc")
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: LineRules | None = None, index: LineIndex | None = None) -> DataFrame:
+    """docs, all columns, with text_col cut to the lines that stay, and n_lines and n_dropped (renamed if taken).
+    index: one that holds docs already, and maybe others; else a new one takes them."""
+    if index is None:
+        index = LineIndex(docs.sparkSession, rules=rules)
+        index.insert(docs, id_col, text_col)
+    least = index.rules.least_chars
+    key, drop = unused(docs, "_doc"), unused(docs, "_drop")
+    lost = index.lost().groupBy(F.col("doc").alias(key)).agg(F.collect_set("key").alias(drop))  # a document's keys are bounded by its length
+    joined = docs.join(lost.hint("merge"), docs[id_col].eqNullSafe(lost[key]), "left").drop(key)  # the same plan at every size
+    new = [docs.schema[text_col], T.StructField(unused(docs, "n_lines"), T.LongType()), T.StructField(unused(docs, "n_dropped"), T.LongType())]
+
+    def cut(text, drop):
+        lines = (text or "").split("\n")
+        if not drop:
+            return text, len(lines), 0
+        gone = set(drop)
+        kept = [x for x in lines if line_key(x, least) not in gone]
+        return "\n".join(kept), len(lines), len(lines) - len(kept)
+
+    return extended(joined, [text_col, drop], cut, new, (drop,))

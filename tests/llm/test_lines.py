@@ -37,10 +37,13 @@ def test_clashing_columns(docs_of):
     assert cl.dedup(df).columns[-2:] == ["n_lines_", "n_dropped_"]
 
 
-def test_large_filters_take_the_join(docs_of, monkeypatch):
-    monkeypatch.setattr(cl, "FILTER_BYTES", 0)
-    monkeypatch.setattr(cl, "BROADCAST_KEYS", 0)
-    assert sum(r.n_dropped for r in cl.dedup(docs_of([A] * 6)).collect()) == 5
+def test_result_is_the_same_with_many_shards_and_groups(docs_of, monkeypatch):
+    docs = docs_of([f"{A}\nheld by {i % 7} some others and long enough to count\nown line {i} that nobody else has, I think" for i in range(60)])
+    want = sorted(map(tuple, cl.dedup(docs).collect()))
+    monkeypatch.setattr(cl, "PER_SHARD", 2)
+    monkeypatch.setattr(cl, "GROUP_ROWS", 10)
+    assert sorted(map(tuple, cl.dedup(docs).collect())) == want
+    assert sum(r[-1] for r in want) == 59 + 53
 
 
 keys = st.sets(st.integers(0, 10**9), max_size=300).map(lambda s: [hashlib.md5(str(x).encode()).digest() for x in sorted(s)])
@@ -56,17 +59,35 @@ def test_filter_has_no_false_negative_and_deletes(ks):
     assert not f.table.any()
 
 
-def test_index_is_reversible(spark, docs_of, tmp_path):
-    first, second = docs_of([(i, f"{A}\nline of document {i} alone, made long enough") for i in range(4)]), docs_of([(i, A) for i in range(4, 8)])
-    ix = cl.LineIndex(spark, str(tmp_path / "ix"), shards=3)
+def test_index_is_reversible(spark, docs_of, tmp_path, monkeypatch):
+    monkeypatch.setattr(cl, "PER_SHARD", 3)
+    first = docs_of([(i, f"{A}\nline of document {i} alone, made long enough\nline of the first batch, held by all {i % 2}") for i in range(12)])
+    second = docs_of([(i, f"{A}\n{B}") for i in range(12, 18)])
+    ix = cl.LineIndex(spark, str(tmp_path / "ix"))
+    state = lambda: (sorted(map(tuple, ix.references().collect())), sorted(map(tuple, ix.counts().collect())), sorted(map(tuple, ix.lost().collect())))
     ix.insert(first)
-    before = sorted(map(tuple, ix.counts().collect()))
-    assert ix.kept(first).count() == 0
+    before = state()
+    assert {r.doc for r in ix.lost().collect()} == set(range(11))
     ix.insert(second)
-    assert {r.doc for r in ix.kept(first.unionByName(second)).collect()} == set(range(7))
+    both = first.unionByName(second)
+    assert sorted(map(tuple, cl.dedup(both, index=ix).collect())) == sorted(map(tuple, cl.dedup(both).collect()))
+    assert {r.doc for r in ix.lost().collect()} == set(range(17))
     ix.delete(second)
-    assert sorted(map(tuple, ix.counts().collect())) == before
-    assert ix.filters().groupBy().sum("n_keys").first()[0] == len(before)
+    assert state() == before
+    assert ix.filters().groupBy().sum("n_keys").first()[0] == len(before[1])
+    held = cl.CuckooFilter.load
+    assert sum(int((held(r.filter).table != 0).sum()) for r in ix.filters().collect()) == len(before[1])
+    again = cl.LineIndex(spark, str(tmp_path / "ix"), generation=1)
+    assert sorted(map(tuple, again.counts().collect())) == before[1]
+    ix.delete(first)
+    assert ix.references().count() == ix.counts().count() == ix.lost().count() == 0
+    ix.insert(first)
+    assert state() == before
+
+
+def test_ids_of_other_types(docs_of):
+    df = docs_of([A] * 6 + [(None, A)]).selectExpr("CAST(doc_id AS STRING) AS doc_id", "text")
+    assert {r.doc_id: r.n_dropped for r in cl.dedup(df).collect()} == {**{str(i): 1 for i in range(5)}, "5": 0, None: 1}
 
 
 @pytest.mark.parametrize("n", [0, 1, 100_000, 100_001])

@@ -3,20 +3,27 @@
 Every document is cut into blocks at content-defined anchors: a window of WINDOW words belongs to the smallest hash
 among its word n-grams (leftmost on ties), and consecutive windows with the same anchor occurrence form one block. The
 cut depends on content alone, so a passage that occurs in two documents is cut alike inside, whatever surrounds it.
-The index holds every block (anchor, content) with its owner, the smallest document that has it. A document is then
-factored greedily from left to right: a block owned by a smaller document extends the current factor as a whole; at
-the boundary of a factor, where a block has this anchor but other surroundings, its windows are looked up one by one
-among the windows of all blocks with the anchor. Factors, at least WINDOW words each, are the duplicate spans.
+
+The reference is every distinct block, once, where it occurs first: (anchor, content) with the smallest document that has
+it and its place there. Every block of every document is looked up in this index. A block found in a smaller document
+points there as a whole. Where it isn't, a factor ends, and the boundary is checked: if the reference holds blocks
+with this anchor but other surroundings, the windows of the block are looked up one by one among the windows of all those.
+Then each document is parsed greedily from left to right: a factor starts at the first window that points anywhere
+and grows, block by block or window by window, as long as the next one points to where its source goes on. So a factor
+is the longest stretch from its start that the reference holds in one piece; it has WINDOW words at least. The words
+under factors are the duplicate spans.
 
 This finds exactly the windows that also start in a smaller document: equal windows have equal anchors at equal
 offsets, so they lie in blocks with one anchor, and those are all compared. Windows are compared by 128 bits of hash.
 
-Scale: rows shuffled are blocks (one per some twenty words), then only blocks whose anchor occurs in two documents,
-then windows of boundary blocks, one copy per distinct block. A passage in a third of all documents is combined to
-one row per task before it moves; joins on its anchor have a pre-aggregated, unique side and may be split by AQE.
+Scale: rows shuffled are blocks (one per some twenty words), by anchor and content, then windows of boundary blocks, one
+copy per distinct block. A passage in a third of all documents is combined to one row per task before it moves; what is
+counted per anchor are distinct blocks. Joins have a stored, unique side, so that AQE may split a hot key of the other.
 
 Cases: null texts have no words; texts under WINDOW words have no window and lose nothing. Rows that repeat a doc_id are
-one document, judged alike. A null doc_id counts as smaller than all others. Very long texts are processed whole.
+one document, judged alike. A null doc_id counts as smaller than all others. A block that its first document holds twice
+points to either place. Very long texts are processed whole. An empty table gives an empty result. Columns of the table
+keep their names and values; ours get an underscore where a name is taken.
 """
 
 from __future__ import annotations
@@ -28,9 +35,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from fleetgauge.llm.common import OUT_ROWS, map_rows, packed, stored, struct, unused
+from fleetgauge.llm.common import OUT_ROWS, extended, packed, stored, struct, unused
 
 #: Odd multiplier of the rolling hashes, and its inverse modulo 2 ** 64.
 BASE = 0x9E3779B97F4A7C15
@@ -143,8 +149,8 @@ def block_rows(docs: DataFrame, id_col: str, text_col: str, rules: SpanRules) ->
 
 
 def window_rows(docs: DataFrame, id_col: str, text_col: str, wanted: str, rules: SpanRules) -> DataFrame:
-    """(doc, first, anchor, window, at): the windows of the blocks whose first windows are listed in the column wanted."""
-    schema = struct(("doc", docs.schema[id_col].dataType.simpleString()), ("anchor", "long"), ("window", "long"), ("at", "int"))
+    """(doc, anchor, window, first): the windows of the blocks whose first windows are listed in the column wanted."""
+    schema = struct(("doc", docs.schema[id_col].dataType.simpleString()), ("anchor", "long"), ("window", "long"), ("first", "int"))
     arrow = None
 
     def run(batches):
@@ -170,68 +176,70 @@ def window_rows(docs: DataFrame, id_col: str, text_col: str, wanted: str, rules:
     return docs.select(id_col, text_col, wanted).mapInArrow(run, schema)
 
 
-def smaller(a: str, b: str):
-    """Whether document a comes before document b; null comes first."""
-    return (F.col(a).isNull() & F.col(b).isNotNull()) | F.coalesce(F.col(a) < F.col(b), F.lit(False))
+def smaller(own: str, none: str, doc: str):
+    """Whether the document own (none: one without an id, which comes first) comes before doc."""
+    return F.col(doc).isNotNull() & (F.col(none) | F.coalesce(F.col(own) < F.col(doc), F.lit(False)))
 
 
-def owner(c: str):
-    """The smallest document of a group, null first."""
-    return F.min(F.struct(F.col(c).isNotNull().alias("some"), F.col(c).alias("doc")))["doc"]
+def owned(rows: DataFrame, *key: str) -> DataFrame:
+    """Per key the first document with it (own, or none), its place there, and how many rows have it."""
+    first = rows.groupBy(*key).agg(F.bool_or(F.col("doc").isNull()).alias("none"), F.min("doc").alias("own"), F.min_by("first", "doc").alias("at"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("k"))
+    return first.withColumn("at", F.when(~F.col("none"), F.col("at")))
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: SpanRules | None = None) -> DataFrame:
-    """(doc, spans): per document with duplicate windows, array of (first window, number of windows)."""
+def pointers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: SpanRules | None = None) -> DataFrame:
+    """(doc, spans): per document with duplicate windows, array of (first window, number of windows, own: the document that
+    has them first, at: where), own and at null for a document without an id."""
     rules = rules or SpanRules()
     rows = stored(block_rows(docs, id_col, text_col, rules), "blocks")
-    many = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("doc").alias("some")).filter((F.col("lo") != F.col("hi")) | ((F.col("some") > 0) & (F.col("some") < F.col("k")))).select("anchor")
-    shared = stored(rows.join(many, "anchor"), "shared-blocks")
-    index = shared.groupBy("anchor", "content").agg(owner("doc").alias("own"))
-    variants = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("variants"))
-    told = shared.join(index, ["anchor", "content"])
-    whole = told.filter(smaller("own", "doc")).select("doc", "first", "n")
-    # a block's owner looks at its boundary window by window, if other blocks have the anchor
-    edge = told.filter(~smaller("own", "doc")).join(variants.filter("variants > 1"), "anchor").select("doc", "first")
-    asked = edge.groupBy("doc").agg(F.collect_set("first").alias("_firsts")).withColumnRenamed("doc", "_doc")
-    texts = docs.select(F.col(id_col), F.col(text_col)).join(asked, docs[id_col].eqNullSafe(asked["_doc"])).drop("_doc")
-    windows = stored(window_rows(texts, id_col, text_col, "_firsts", rules), "edge-windows")
-    first_in = windows.groupBy("anchor", "window").agg(owner("doc").alias("own"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
-    single = windows.join(first_in, ["anchor", "window"]).filter(smaller("own", "doc")).select("doc", F.col("at").alias("first"), F.lit(1).alias("n"))
-    return whole.unionByName(single).groupBy("doc").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
-
-
-def factors(found: list, window: int) -> list[tuple[int, int]]:
-    """Greedy factors [from, to) over words: spans of windows that touch or overlap grow together."""
-    out: list[tuple[int, int]] = []
-    for first, n in sorted((s["first"], s["n"]) for s in found):
-        to = first + n - 1 + window
-        if out and first <= out[-1][1]:
-            out[-1] = (out[-1][0], max(to, out[-1][1]))
-        else:
-            out.append((first, to))
-    return out
+    blocks_of = stored(owned(rows, "anchor", "content"), "reference-blocks")
+    # anchors in one document only have nothing to look up; where all blocks with an anchor are alike, there is no boundary
+    several = (F.col("lo") != F.col("hi")) | (F.col("none") & F.col("lo").isNotNull())
+    anchors = blocks_of.groupBy("anchor").agg(F.min("own").alias("lo"), F.max("hi").alias("hi"), F.bool_or("none").alias("none"), (F.count(F.lit(1)) > 1).alias("edge")).filter(several).select("anchor", "edge")
+    index = stored(blocks_of.join(anchors, "anchor").select("anchor", "content", "own", "none", "at", "edge"), "index")
+    told = stored(rows.join(index, ["anchor", "content"]), "told")
+    points = smaller("own", "none", "doc")
+    whole = told.filter(points).select("doc", "first", "n", F.when(~F.col("none"), F.col("own")).alias("own"), "at")
+    # a block's first document looks at its boundary window by window
+    asked = told.filter(~points & F.col("edge")).groupBy("doc").agg(F.collect_set("first").alias("_firsts")).withColumnRenamed("doc", "_doc")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(asked, F.col("_id").eqNullSafe(F.col("_doc"))).drop("_doc")
+    windows = stored(window_rows(texts, "_id", "_text", "_firsts", rules), "edge-windows")
+    first_in = stored(owned(windows, "anchor", "window").filter("k > 1 AND (own != hi OR none)").drop("k", "hi"), "reference-windows")
+    single = windows.join(first_in, ["anchor", "window"]).filter(points).select("doc", "first", F.lit(1).alias("n"), F.when(~F.col("none"), F.col("own")).alias("own"), "at")
+    return whole.unionByName(single).groupBy("doc").agg(F.collect_list(F.struct("first", "n", "own", "at")).alias("spans"))
+
+
+def parse(found: list, window: int) -> list[tuple]:
+    """Greedy factors (start, stop, source, source's start) over words. A factor goes on while the next windows point to where its source goes on."""
+    out: list[list] = []
+    for first, n, own, at in sorted(((s["first"], s["n"], s["own"], s["at"]) for s in found), key=lambda s: (s[0], -s[1])):
+        last = out[-1] if out else None
+        if last and last[1] == first and at is not None and last[2] == own and last[3] + first - last[0] == at:
+            last[1] += n
+        elif not last or first + n > last[1]:  # rows that repeat a document point twice
+            out.append([first, first + n, own, at])
+    return [(a, b + window - 1, own, at) for a, b, own, at in out]
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: SpanRules | None = None) -> DataFrame:
-    """docs, all columns, plus n_words, n_removed, factors array<(start, stop)> over words, and kept_words: the words left,
-    joined by one space (names taken by docs get an underscore)."""
+    """docs, all columns, plus n_words, n_removed, factors array<(start, stop, source, source_start)> over words, and
+    kept_words: the words left, joined by one space (names taken by docs get an underscore)."""
     rules = rules or SpanRules()
-    names = [unused(docs, c) for c in ("n_words", "n_removed", "factors", "kept_words")]
-    found = spans(docs, id_col, text_col, rules).withColumnsRenamed({"doc": "_doc", "spans": "_spans"})
-    joined = docs.join(found, docs[id_col].eqNullSafe(found["_doc"]), "left").drop("_doc")
-    kinds = ("long", "long", "array<struct<start:int,stop:int>>", "string")
-    schema = T.StructType([*docs.schema.fields, *struct(*zip(names, kinds, strict=True)).fields])
-    text_at = docs.columns.index(text_col)
-
-    def cut(*values):
-        *values, found = values
-        words = (values[text_at] or "").encode().split()
-        cuts = factors(found or [], rules.window)
+    key, spans = unused(docs, "_doc"), unused(docs, "_spans")
+    found = pointers(docs, id_col, text_col, rules).withColumnsRenamed({"doc": key, "spans": spans})
+    joined = docs.join(found, docs[id_col].eqNullSafe(found[key]), "left").drop(key)
+    kind = docs.schema[id_col].dataType.simpleString()
+    kinds = ("long", "long", f"array<struct<start:int,stop:int,source:{kind},source_start:int>>", "string")
+    fields = struct(*zip((unused(docs, c) for c in ("n_words", "n_removed", "factors", "kept_words")), kinds, strict=True)).fields
+
+    def cut(text, found):
+        words = (text or "").encode().split()
+        factors = parse(found or [], rules.window)
         kept, at = [], 0
-        for a, b in cuts:
+        for a, b, _, _ in factors:
             kept += words[at:a]
-            at = b
+            at = max(at, b)
         kept += words[at:]
-        yield (*values, len(words), len(words) - len(kept), [{"start": a, "stop": b} for a, b in cuts], b" ".join(kept).decode())
+        return len(words), len(words) - len(kept), [dict(zip(("start", "stop", "source", "source_start"), f, strict=True)) for f in factors], b" ".join(kept).decode()
 
-    return map_rows(joined, [*docs.columns, "_spans"], cut, schema)
+    return extended(joined, [text_col, spans], cut, fields, (spans,))

@@ -23,7 +23,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Frequent lines go, except in the last document that holds them; n_chars follows the text."""
     kept = cuckoo_lines.dedup(docs)
     if "n_chars" in docs.columns:
-        changed = F.coalesce("n_dropped", F.lit(0)) > 0
+        changed = F.col(kept.columns[-1]) > 0  # lines dropped, under a name that documents don't have
         kept = kept.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return kept.select(*docs.columns)
 

@@ -107,7 +107,15 @@ def bucketed(records: DataFrame, bucket_h: float = 5) -> DataFrame:
     bucket = F.floor(F.col("ts_ms") / int(bucket_h * 3_600_000))
     weight = F.when(F.col("reqs") > 0, F.col("reqs"))
     out = records.withColumn("bucket", bucket).groupBy("node", "bucket").agg(F.min("ts_ms").alias("first_ms"), ratio(F.sum(F.col("e2e_ms") * weight), F.sum(weight)).alias("e2e_ms"), ratio(F.sum(F.col("decode_ms") * weight), F.sum(weight)).alias("decode_ms"), F.avg("cache_hits").cast("bigint").alias("cache_hits"))
-    return out.withColumn("label", local_label(F.col("first_ms")))
+    return out.withColumn("label", local_label(F.col("first_ms"))).orderBy("node", "bucket")
+
+
+def hit_rate_history(rows: DataFrame, step_ms: int, most: int = 60) -> DataFrame:
+    """(step_ms, hit_rate): the fleet's rate in percent over each node's last snapshot within each step, the last steps only."""
+    step = (F.floor(F.col("ts_ms") / step_ms) * step_ms).alias("step_ms")
+    per = rows.groupBy(step, "node").agg(F.max_by("hits", "ts_ms").alias("h"), F.max_by("misses", "ts_ms").alias("m"))
+    out = per.groupBy("step_ms").agg(percent(F.sum("h"), F.sum("h") + F.sum("m")).alias("hit_rate"))
+    return out.orderBy(F.col("step_ms").desc()).limit(most)
 
 
 def latency_series(rows: DataFrame) -> DataFrame:
@@ -115,8 +123,9 @@ def latency_series(rows: DataFrame) -> DataFrame:
     return rows.select("node", "ts_ms", ratio(F.col("all_e2e"), F.col("reqs")).alias("e2e_ms"), "ws")
 
 
-def unchanged_runs(reports: DataFrame, key: str, order: str, pause_at: int = 3, part: tuple[str, ...] = ()) -> DataFrame:
-    """reports plus unchanged (consecutive reports with the same key before this one) and paused."""
+def unchanged_runs(reports: DataFrame, key: str, order: str, part: tuple[str, ...], pause_at: int = 3) -> DataFrame:
+    """reports plus unchanged (consecutive reports with the same key before this one) and paused. part: the columns that tell
+    series apart; each is one task's work."""
     w = W.partitionBy(*part).orderBy(order)
     marked = reports.withColumn("_new", F.when(F.col(key).eqNullSafe(F.lag(key).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)).withColumn("_island", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
     run = F.row_number().over(W.partitionBy(*part, "_island").orderBy(order)) - 1

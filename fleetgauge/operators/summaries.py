@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetgauge.functions.scalars import named_voice, percent, ratio, ratio_or_null, selector
@@ -24,11 +25,18 @@ def has_metric(*names: str) -> Column:
 
 
 def latest(samples: DataFrame, max_age_ms: int | None = None, now_ms: int | None = None) -> DataFrame:
-    """The samples of each node's last snapshot. A node stays up without limit unless max_age_ms is given."""
-    last = samples.groupBy("node").agg(F.max("ts_ms").alias("ts_ms"))
+    """The samples of each node's last snapshot, in one pass. A node stays up without limit unless max_age_ms is given."""
+    last = samples.withColumn("_last", F.max("ts_ms").over(W.partitionBy("node"))).filter(F.col("ts_ms") == F.col("_last")).drop("_last")
+    return last if max_age_ms is None else last.filter(F.col("ts_ms") >= F.lit(now_ms) - max_age_ms)
+
+
+def latest_nested(snapshots: DataFrame, max_age_ms: int | None = None, now_ms: int | None = None) -> DataFrame:
+    """latest() of nested snapshots (node, cluster, ts_ms, samples): only each task's last snapshot of a node is shuffled, and
+    only the last of all is unfolded."""
+    last = snapshots.groupBy("node").agg(F.max("ts_ms").alias("ts_ms"), F.max_by(F.struct("cluster", "samples"), "ts_ms").alias("_s"))
     if max_age_ms is not None:
         last = last.filter(F.col("ts_ms") >= F.lit(now_ms) - max_age_ms)
-    return samples.join(last, ["node", "ts_ms"], "left_semi")
+    return last.select("node", F.col("_s")["cluster"].alias("cluster"), "ts_ms", F.inline(F.col("_s")["samples"]))
 
 
 def node_rows(nodes: DataFrame, snapshot: DataFrame) -> DataFrame:
@@ -40,14 +48,17 @@ def node_rows(nodes: DataFrame, snapshot: DataFrame) -> DataFrame:
     return joined.select("node", "cluster", F.coalesce("_up", F.lit(False)).alias("up"), "ws", "reqs", "hits", "misses", F.when(F.col("_up"), percent(F.col("hits"), F.col("hits") + F.col("misses"))).alias("hit_rate"), F.when(F.col("_up"), ratio(F.col("_e2e"), F.col("_named"))).alias("avg_ms"))
 
 
-def cluster_rows(rows: DataFrame) -> DataFrame:
-    """Rollup of node_rows() per cluster; the mean latency is the plain mean of the nodes' means above 0."""
+def cluster_rows(rows: DataFrame, digits: int | None = 1) -> DataFrame:
+    """Rollup of node_rows() per cluster; the mean latency is the plain mean of the nodes' means above 0, each rounded to
+    digits before (ties up; None: as they are), so that a node whose mean rounds to 0 doesn't count."""
     active = F.count_if(F.col("up") & (F.col("ws") > 0))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
-    positive = F.when(F.col("avg_ms") > 0, F.col("avg_ms"))
+    scale = 1.0 if digits is None else 10.0**digits
+    scaled = F.col("avg_ms") if digits is None else F.floor(F.col("avg_ms") * scale + 0.5)  # whole numbers have exact sums
+    positive = F.when(scaled > 0, scaled)
     return rows.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("total_nodes"), F.count_if("up").alias("up_nodes"), active.alias("active_nodes"), total("ws").alias("total_ws"), ratio(total("ws"), active).alias("avg_ws_per_active"), total("reqs").alias("total_reqs"), total("hits").alias("hits"), total("misses").alias("misses"),
-        percent(total("hits"), total("hits") + total("misses")).alias("hit_rate"), F.coalesce(F.avg(positive), F.lit(0.0)).alias("avg_ms"), F.coalesce(F.max(positive), F.lit(0.0)).alias("max_ms"),
+        percent(total("hits"), total("hits") + total("misses")).alias("hit_rate"), F.coalesce(F.sum(positive) / F.count(positive) / scale, F.lit(0.0)).alias("avg_ms"), F.coalesce(F.max(positive) / scale, F.lit(0.0)).alias("max_ms"),
     )
 
 
@@ -123,9 +134,22 @@ def error_rate(snapshot: DataFrame) -> DataFrame:
     return snapshot.groupBy("node").agg(percent(metric_sum("tts_errors_total"), metric_sum(REQS)).alias("error_rate"))
 
 
-def info_labels(snapshot: DataFrame, metric: str = "tts_engine_info") -> DataFrame:
-    """Labels of each node's first info sample."""
-    return snapshot.filter(F.col("metric") == metric).groupBy("node").agg(F.min_by("labels", F.to_json("labels")).alias("labels"))
+def info_labels(snapshot: DataFrame, order: str, metric: str = "tts_engine_info") -> DataFrame:
+    """Labels of each node's first info sample by the column order (the line of the text, for instance)."""
+    return snapshot.filter(F.col("metric") == metric).groupBy("node").agg(F.min_by("labels", order).alias("labels"))
+
+
+def summary_json(rows: DataFrame) -> DataFrame:
+    """(node, body): node_rows() as JSON objects; whole counts, rate and latency to one decimal; a down node has no more
+    than its name and state."""
+    whole = lambda c, n: F.col(c).cast("bigint").alias(n)
+    up = F.to_json(F.struct("node", "up", whole("ws", "ws"), whole("reqs", "reqs"), whole("hits", "cache_hits"), whole("misses", "cache_misses"), (F.floor(F.col("hit_rate") * 10 + 0.5) / 10).alias("cache_rate"), (F.floor(F.col("avg_ms") * 10 + 0.5) / 10).alias("avg_e2e_ms")))
+    return rows.select("node", F.when(F.col("up"), up).otherwise(F.to_json(F.struct("node", "up"))).alias("body"))
+
+
+def gauge_mean(samples: DataFrame, metric: str, *keys: str) -> DataFrame:
+    """Mean of a gauge's samples per key; keys without the metric have no row."""
+    return samples.filter(F.col("metric") == metric).groupBy(*keys).agg(F.avg("value").alias("value"))
 
 
 GAUGES = ("tts_llm_ttft_avg_ms", "tts_dec_ttft_avg_ms", "tts_total_avg_ms")
@@ -133,7 +157,8 @@ GAUGES = ("tts_llm_ttft_avg_ms", "tts_dec_ttft_avg_ms", "tts_total_avg_ms")
 
 def node_latency(snapshot: DataFrame, need_all: bool = True) -> DataFrame:
     """Per node: mean gauges if reported (all three, or at least the first), else time over requests of labelled samples
-    without an empty voice; source says which, error is set where there are no requests."""
+    without an empty voice; source says which, error is set where there are no requests. Counters tell how long a model
+    took in all, not when its first token came, so llm_ms is null there."""
     from fleetgauge.functions.scalars import labelled_not_blank
 
     ok = labelled_not_blank(F.col("labels"))
@@ -143,7 +168,7 @@ def node_latency(snapshot: DataFrame, need_all: bool = True) -> DataFrame:
     for s in seen[1:]:
         all_seen = all_seen & s
     r = metric_sum(REQS, ok)
-    counters = [ratio_or_null(metric_sum(m, ok), r) for m in ("tts_llm_ms_total", DECODE, E2E)]
+    counters = [F.lit(None).cast("double"), *(ratio_or_null(metric_sum(m, ok), r) for m in (DECODE, E2E))]
     out = [F.when(all_seen, g).otherwise(c).alias(n) for g, c, n in zip(gauges, counters, ("llm_ms", "decode_ms", "total_ms"), strict=True)]
     return snapshot.groupBy("node").agg(*out, F.when(all_seen, "gauge").otherwise("counter").alias("source"), F.when(~all_seen & (r == 0), "no named requests").alias("error"))
 
@@ -171,6 +196,14 @@ def vector_op(a: DataFrame, b: DataFrame, fn, keys: tuple[str, ...]) -> DataFram
     return left.join(right, list(keys)).select(*keys, fn(F.col("_a"), F.col("_b")).alias("value"))
 
 
+def ratio_of(samples: DataFrame, first: str, second: str, fn, keys: tuple[str, ...]) -> DataFrame:
+    """vector_op() of two metrics of one table, in one pass: each key holds one sample of either metric at most, keys with
+    only one of them drop out."""
+    pick = lambda m: F.max(F.when(F.col("metric") == m, F.col("value")))
+    both = samples.filter(F.col("metric").isin(first, second)).groupBy(*keys).agg(pick(first).alias("_a"), pick(second).alias("_b"))
+    return both.filter("_a IS NOT NULL AND _b IS NOT NULL").select(*keys, fn(F.col("_a"), F.col("_b")).alias("value"))
+
+
 def legend(series: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Mean, maximum and last value that isn't null, per series."""
     ok = series.filter(F.col("value").isNotNull())

@@ -20,14 +20,18 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A snapshot per event: every voice's counters so far, and two gauges."""
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nested snapshot per event: every voice's counters so far, and two gauges."""
     w = W.partitionBy("node").orderBy("ts_ms", "event_id").rowsBetween(W.unboundedPreceding, 0)
     steps = {REQS: F.lit(1), E2E: F.col("cents"), DECODE: F.floor(F.col("cents") / 3), HITS: F.when(F.col("k") < 70, 1).otherwise(0), MISSES: F.when(F.col("k") < 70, 0).otherwise(1)}
     none = F.create_map().cast("map<string,string>")
     found = [F.struct(F.lit(m).alias("metric"), F.create_map(F.lit("voice"), F.lit(v)).alias("labels"), F.sum(F.when(F.col("voice") == v, inc).otherwise(0)).over(w).cast("double").alias("value")) for m, inc in steps.items() for v in VOICES]
     found += [F.struct(F.lit(m).alias("metric"), none.alias("labels"), (F.col("k") % n).cast("double").alias("value")) for m, n in ((WS, 7), (RUNNING, 4))]
-    return events(spark, sf_dir).select("node", "cluster", "ts_ms", F.array(*found).alias("s")).select("node", "cluster", "ts_ms", F.inline("s"))
+    return events(spark, sf_dir).select("node", "cluster", "ts_ms", F.array(*found).alias("samples"))
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots(spark, sf_dir).select("node", "cluster", "ts_ms", F.inline("samples"))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

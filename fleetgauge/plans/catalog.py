@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetgauge.functions import scalars as sc
 from fleetgauge.operators import series as se
 from fleetgauge.operators import summaries as su
-from fleetgauge.plans.adapter import SQL, events, nodes, now_ms, samples
+from fleetgauge.plans.adapter import SQL, events, nodes, now_ms, samples, snapshots
 from fleetgauge.sources import exposition, lists
 
 DAY = 86_400_000
@@ -40,7 +40,7 @@ def DIV(a: str, b: str) -> str:
 
 
 def latest(spark, d):
-    return su.latest(samples(spark, d))
+    return su.latest_nested(snapshots(spark, d))
 
 
 def points(spark, d):
@@ -55,9 +55,9 @@ def node_summary(spark, d):
 
 @query(f"""SELECT n.cluster, count(*) AS total_nodes, count(l.node) AS up_nodes, count(*) FILTER (ws > 0) AS active_nodes, coalesce(sum(ws), 0) AS total_ws, {DIV('coalesce(sum(ws), 0)', 'count(*) FILTER (ws > 0)')} AS avg_ws_per_active,
   coalesce(sum(reqs), 0) AS total_reqs, coalesce(sum(hits), 0) AS hits, coalesce(sum(misses), 0) AS misses, {DIV('sum(hits)', 'coalesce(sum(hits + misses), 0)')} * 100 AS hit_rate,
-  {R1("coalesce(avg(named_e2e / nullif(named_reqs, 0)) FILTER (named_e2e > 0), 0)")} AS avg_ms, {R1("coalesce(max(named_e2e / nullif(named_reqs, 0)), 0)")} AS max_ms FROM n LEFT JOIN l ON n.node = l.node GROUP BY n.cluster""")
+  {R1("coalesce(sum(t) FILTER (t > 0) / count(*) FILTER (t > 0) / 10, 0)")} AS avg_ms, coalesce(max(t) FILTER (t > 0) / 10, 0) AS max_ms FROM n LEFT JOIN (SELECT *, floor(named_e2e / nullif(named_reqs, 0) * 10 + 0.5) AS t FROM l) l ON n.node = l.node GROUP BY n.cluster""")
 def cluster_summary(spark, d):
-    return r1(su.cluster_rows(su.node_rows(nodes(spark, d), latest(spark, d))), "avg_ms", "max_ms")
+    return r1(su.cluster_rows(su.node_rows(nodes(spark, d), latest(spark, d))), "avg_ms")
 
 
 @query(f"""SELECT 7 AS total_nodes, sum(ws) AS total_ws, sum(ws) / 7 AS avg_ws_per_node, sum(reqs) AS total_reqs, sum(hits) AS hits, sum(misses) AS misses, {DIV('sum(hits)', 'sum(hits + misses)')} * 100 AS hit_rate, {DIV('sum(all_e2e)', 'sum(named_reqs)')} AS avg_ms FROM l""")
@@ -133,8 +133,56 @@ def latency_variants(spark, d):
 
 @query(f"""SELECT node, CAST(NULL AS DOUBLE) AS llm_ms, named_decode / nullif(named_reqs, 0) AS decode_ms, named_e2e / nullif(named_reqs, 0) AS total_ms, 'counter' AS source, CASE WHEN named_reqs = 0 THEN 'no named requests' END AS error FROM l""")
 def node_latency(spark, d):
-    out = su.node_latency(latest(spark, d))
-    return out.withColumn("llm_ms", F.when(F.col("llm_ms") != 0, F.col("llm_ms")))
+    return su.node_latency(latest(spark, d))
+
+
+@query("""SELECT node, CASE WHEN g THEN ws + 0.5 END AS llm_ms, CASE WHEN g THEN running ELSE named_decode / nullif(named_reqs, 0) END AS decode_ms, CASE WHEN g THEN running + 100 ELSE named_e2e / nullif(named_reqs, 0) END AS total_ms, CASE WHEN g THEN 'gauge' ELSE 'counter' END AS source,
+  CASE WHEN NOT g AND named_reqs = 0 THEN 'no named requests' END AS error FROM (SELECT *, CAST(node AS BIGINT) % 2 = 0 AS g FROM l)""")
+def node_latency_gauges(spark, d):
+    """Nodes with even numbers report gauges, the first one in two samples."""
+    snap = latest(spark, d)
+    even = snap.filter(F.col("node").cast("bigint") % 2 == 0)
+    gauge = lambda m, g, more: even.filter(F.col("metric") == m).withColumns({"metric": F.lit(g), "value": F.col("value") + more})
+    parts = [gauge(su.WS, su.GAUGES[0], 0), gauge(su.WS, su.GAUGES[0], 1), gauge(su.RUNNING, su.GAUGES[1], 0), gauge(su.RUNNING, su.GAUGES[2], 100)]
+    return su.node_latency(su.either(snap, *parts))
+
+
+@query("SELECT cluster, avg(running) AS value FROM l GROUP BY cluster")
+def gauge_mean(spark, d):
+    return su.gauge_mean(latest(spark, d), su.RUNNING, "cluster")
+
+
+@query(f"""SELECT n.node, CASE WHEN l.node IS NULL THEN json_object('node', n.node, 'up', false) ELSE json_object('node', n.node, 'up', true, 'ws', ws::BIGINT, 'reqs', reqs::BIGINT, 'cache_hits', hits::BIGINT, 'cache_misses', misses::BIGINT,
+  'cache_rate', {R1(DIV('hits', 'hits + misses') + ' * 100')}, 'avg_e2e_ms', {R1(DIV('named_e2e', 'named_reqs'))}) END::VARCHAR AS body FROM n LEFT JOIN l ON n.node = l.node""")
+def summary_json(spark, d):
+    return su.summary_json(su.node_rows(nodes(spark, d), latest(spark, d)))
+
+
+@query("SELECT node, arg_min(voice, event_id) AS voice, arg_min(CAST(k AS VARCHAR), event_id) AS build FROM e GROUP BY node")
+def info_labels(spark, d):
+    labels = F.create_map(F.lit("voice"), F.col("voice"), F.lit("build"), F.col("k").cast("string"))
+    info = events(spark, d).select("node", "event_id", F.lit("tts_engine_info").alias("metric"), labels.alias("labels"))
+    return su.info_labels(info, "event_id").select("node", F.col("labels")["voice"].alias("voice"), F.col("labels")["build"].alias("build"))
+
+
+@query(f"SELECT step_ms, {DIV('sum(hits)', 'sum(hits + misses)')} * 100 AS hit_rate FROM (SELECT *, ts_ms // {DAY} * {DAY} AS step_ms FROM p QUALIFY row_number() OVER (PARTITION BY node, ts_ms // {DAY} ORDER BY ts_ms DESC) = 1) GROUP BY step_ms ORDER BY step_ms DESC LIMIT 60")
+def hit_rate_history(spark, d):
+    return se.hit_rate_history(points(spark, d), DAY)
+
+
+@query(f"SELECT mode, count(*) AS n, min(ts_ms) AS first_ms FROM (SELECT unnest(['5m', '15m', '1h', 'custom', 'live']) AS mode, unnest([300000, 900000, 3600000, {DAY}, NULL]) AS span) m, e, now WHERE span IS NULL OR ts_ms >= t - span GROUP BY mode")
+def range_presets(spark, d):
+    now, out = now_ms(spark, d), []
+    for mode in ("5m", "15m", "1h", "custom", "live"):
+        rows = se.since(events(spark, d), sc.since_ms(mode, now, now - DAY))
+        out.append(rows.groupBy(F.lit(mode).alias("mode")).agg(F.count(F.lit(1)).alias("n"), F.min("ts_ms").alias("first_ms")))
+    return su.either(*out)
+
+
+@query("SELECT node, count(*) AS n FROM e WHERE voice = 'purchase' GROUP BY node")
+def label_equality(spark, d):
+    s = events(spark, d).withColumn("labels", F.create_map(F.lit("voice"), F.col("voice")))
+    return s.filter(sc.has_label(F.col("labels"), "voice", "purchase")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""SELECT {DIV('sum(e)', 'sum(r)')} AS avg_ms, CAST(sum(r) AS BIGINT) AS total_reqs, 14400 AS window_min FROM (SELECT greatest(0, arg_max(named_reqs, ts_ms) - arg_min(named_reqs, ts_ms)) AS r, greatest(0, arg_max(named_e2e, ts_ms) - arg_min(named_e2e, ts_ms)) AS e FROM p, now WHERE ts_ms >= t - {10 * DAY} GROUP BY node HAVING count(*) >= 2)""".replace("14400 AS", "CAST(14400 AS BIGINT) AS"))
@@ -215,8 +263,7 @@ def panel_samples(spark, d):
 @query(f"SELECT cluster AS job, node AS instance, ts_ms, {DIV('cents', 'cents + k * 100')} * 100 AS value, CASE WHEN {DIV('cents', 'cents + k * 100')} * 100 >= 90 THEN 'red' WHEN {DIV('cents', 'cents + k * 100')} * 100 >= 70 THEN 'yellow' ELSE 'green' END AS colour FROM e WHERE cluster = 'c1'")
 def panel_memory(spark, d):
     s = panel_samples(spark, d)
-    used, free = su.selected(s, "DCGM_FI_DEV_FB_USED", job="c1"), su.selected(s, "DCGM_FI_DEV_FB_FREE", job="c1")
-    out = su.vector_op(used, free, sc.used_percent, ("job", "instance", "ts_ms"))
+    out = su.ratio_of(su.selected(s, job="c1"), "DCGM_FI_DEV_FB_USED", "DCGM_FI_DEV_FB_FREE", sc.used_percent, ("job", "instance", "ts_ms"))
     return out.withColumn("colour", sc.threshold_colour(F.col("value"), "memory"))
 
 
@@ -264,6 +311,29 @@ def exposition_parse(spark, d):
     return exposition.parse(lines.unionByName(comments)).select("event_id", "node", F.col("labels")["voice"].alias("voice"), "value")
 
 
+@query("SELECT node, 'tts_e2e_ms_total' AS metric, array_to_string(list(cents ORDER BY cents), ',') AS \"values\" FROM e GROUP BY node")
+def exposition_bare(spark, d):
+    lines = events(spark, d).select("node", F.format_string('tts_e2e_ms_total{voice="%s"} %d', "voice", "cents").alias("value"))
+    out = exposition.bare_values(exposition.parse(lines), "node")
+    return out.withColumn("values", F.array_join(F.transform("values", lambda x: x.cast("bigint").cast("string")), ","))
+
+
+@query("SELECT event_id, node, voice, CASE WHEN k % 3 = 0 THEN 1.0::DOUBLE ELSE k::DOUBLE END AS value FROM e WHERE k % 3 < 2")
+def exposition_browser(spark, d):
+    """Capital exponents end a number; NaN and lines that begin with a space don't count."""
+    value = F.when(F.col("k") % 3 == 0, "1E3").when(F.col("k") % 3 == 1, F.col("k").cast("string")).otherwise("NaN")
+    rows = events(spark, d).select("event_id", "node", F.concat(F.lit('m{voice="'), "voice", F.lit('"} '), value).alias("value"))
+    spaced = rows.withColumn("value", F.concat(F.lit(" "), "value"))
+    return exposition.parse_loose(rows.unionByName(spaced)).select("event_id", "node", F.col("labels")["voice"].alias("voice"), "value")
+
+
+@query("SELECT node, cluster, ts_ms, count(*) AS n, sum(cents)::DOUBLE AS total FROM e GROUP BY ALL")
+def nested_snapshots(spark, d):
+    s = events(spark, d).select("node", "cluster", "ts_ms", F.lit(su.E2E).alias("metric"), F.create_map(F.lit("voice"), F.col("voice")).alias("labels"), F.col("cents").cast("double").alias("value"))
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x["value"])
+    return exposition.snapshots(s).select("node", "cluster", "ts_ms", F.size("samples").cast("bigint").alias("n"), total.alias("total"))
+
+
 @query("SELECT event_id, node, cluster, voice, cents::DOUBLE AS value FROM e")
 def exposition_render(spark, d):
     s = events(spark, d).select("event_id", "node", "cluster", F.lit(su.E2E).alias("metric"), F.create_map(F.lit("voice"), F.col("voice")).alias("labels"), F.col("cents").cast("double").alias("value"))
@@ -280,6 +350,46 @@ def node_list(spark, d):
     return lists.node_list(lines).drop("line")
 
 
+def node_file(spark, d):
+    """Customers as one node list: every third with a comment behind, every second with a port, the last half in a section."""
+    c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey")
+    node = F.concat(F.lit("192.0.2."), F.col("c_custkey"), F.when(F.col("c_custkey") % 2 == 0, ":8080").otherwise(""), F.when(F.col("c_custkey") % 3 == 0, " # spare").otherwise(""))
+    rows = c.select(F.lit("f").alias("file"), (F.col("c_custkey") * 2).alias("line"), node.alias("value"))
+    marks = spark.createDataFrame([("f", 101, "# cluster:ext2"), ("f", 1, "# a comment"), ("f", 103, "  ")], "file string, line bigint, value string")
+    return rows.unionByName(marks)
+
+
+@query("""SELECT 'merged' AS flavour, '192.0.2.' || c_custkey || CASE WHEN c_custkey % 2 = 0 THEN ':8080' ELSE '' END AS node, 'main' AS cluster FROM customer
+  UNION ALL SELECT 'always', '192.0.2.' || c_custkey || CASE WHEN c_custkey % 2 = 0 THEN ':8080' ELSE '' END || ':8764', CASE WHEN c_custkey * 2 < 101 THEN 'main' ELSE 'ext2' END FROM customer
+  UNION ALL SELECT 'first', '192.0.2.' || c_custkey || CASE WHEN c_custkey % 2 = 0 THEN ':8080' ELSE ':8764' END, 'main' FROM customer WHERE c_custkey * 2 < 101
+  UNION ALL SELECT 'plain', '192.0.2.' || c_custkey || CASE WHEN c_custkey % 2 = 0 THEN ':8080' ELSE '' END || CASE WHEN c_custkey % 3 = 0 THEN '#spare' ELSE '' END || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE ':8764' END, CASE WHEN c_custkey * 2 < 101 THEN 'main' ELSE 'ext2' END FROM customer""", common=False)
+def node_list_flavours(spark, d):
+    lines = node_file(spark, d)
+    kinds = {"merged": {"sections": "ignore", "inline_comments": True, "port": "never"}, "always": {"inline_comments": True, "port": "always"}, "first": {"sections": "first", "inline_comments": True}, "plain": {}}
+    return su.either(*(lists.node_list(lines, **k).select(F.lit(name).alias("flavour"), "node", "cluster") for name, k in kinds.items()))
+
+
+@query("""SELECT 'global:' || chr(10) || '  scrape_interval: 15s' || chr(10) || '  scrape_timeout: 10s' || chr(10) || 'scrape_configs:' || chr(10) || '  - job_name: ' || chr(39) || 'gpu_nodes' || chr(39) || chr(10) || '    static_configs:' || chr(10) || '      - targets:' || chr(10) ||
+  string_agg('          - ' || chr(39) || '192.0.2.' || c_custkey || CASE WHEN c_custkey % 2 = 0 THEN ':8080' ELSE ':8764' END || chr(39), chr(10) ORDER BY c_custkey) || chr(10) AS value FROM customer""", common=False)
+def scrape_config(spark, d):
+    return lists.scrape_config(lists.node_list(node_file(spark, d), inline_comments=True))
+
+
+@query("SELECT s_suppkey, s_suppkey % 50 AS active_calls, CASE WHEN s_suppkey % 2 = 0 THEN 60 ELSE 0 END AS max_calls, 0::BIGINT AS vacant_slots, s_nationkey AS x, s_suppkey AS y FROM supplier", common=False)
+def capacity_documents(spark, d):
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    most = F.when(F.col("s_suppkey") % 2 == 0, F.lit(', "max_calls": 60')).otherwise("")
+    docs = s.select("s_suppkey", F.concat(F.format_string('{"active_calls": %d', (F.col("s_suppkey") % 50).cast("int")), most, F.format_string(', "VI": {"total_active": 4, "config_freq": {"x": %d, "y": %d}}}', F.col("s_nationkey").cast("int"), F.col("s_suppkey").cast("int"))).alias("value"))
+    freq = lambda k: F.col("sections")["VI"]["config_freq"][k].alias(k)
+    return lists.capacity(docs, keep=("s_suppkey",)).select("s_suppkey", "active_calls", "max_calls", "vacant_slots", freq("x"), freq("y"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey * 997 >= 1e6 THEN printf('%.2f', p_partkey * 997 / 1e6) || 'M' WHEN p_partkey * 997 >= 1000 THEN printf('%.1f', p_partkey * 997 / 1e3) || 'K' ELSE CAST(p_partkey * 997 AS VARCHAR) END AS count, format('{:,}', p_partkey * 997) AS thousands, p_partkey // 7 AS sevenths FROM part", common=False)
+def display_counts(spark, d):
+    n = F.col("p_partkey") * 997
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", sc.show_count(n.cast("double")).alias("count"), sc.thousands(n).alias("thousands"), sc.floor_div(F.col("p_partkey"), F.lit(7)).alias("sevenths"))
+
+
 @query("SELECT '198.51.100.' || s_suppkey AS external_ip FROM supplier WHERE s_acctbal > 0", common=False)
 def inventory_running(spark, d):
     s = spark.read.parquet(f"{d}/supplier.parquet")

@@ -55,12 +55,12 @@ def live_backends(docs: DataFrame, text: str = "value") -> DataFrame:
     return docs.select(b.alias("b")).filter("b.up AND b.external_ip IS NOT NULL AND b.external_ip <> ''").select("b.external_ip")
 
 
-def capacity(docs: DataFrame, text: str = "value") -> DataFrame:
-    """Capacity documents with their sections as one map; missing numbers are 0."""
-    d = docs.select(F.from_json(text, schemas.CAPACITY).alias("d")).select("d.*")
+def capacity(docs: DataFrame, text: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Capacity documents with their sections as one map, after the columns keep; missing numbers are 0."""
+    d = docs.select(*keep, F.from_json(text, schemas.CAPACITY).alias("d")).select(*keep, "d.*")
     numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("active_calls", "max_calls", "vi_max_calls", "exotel_max_calls", "vacant_slots")]
     sections = F.map_from_arrays(F.array(*map(F.lit, schemas.SECTIONS)), F.array(*(F.col(f"`{s}`") for s in schemas.SECTIONS)))
-    return d.select(*numbers, sections.alias("sections"))
+    return d.select(*keep, *numbers, sections.alias("sections"))
 
 
 def scrape_config(nodes: DataFrame, job: str = "gpu_nodes", every: str = "15s", patience: str = "10s") -> DataFrame:

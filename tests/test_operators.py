@@ -7,6 +7,7 @@ from fleetgauge import schemas
 from fleetgauge.functions import scalars as sc
 from fleetgauge.operators import series as se
 from fleetgauge.operators import summaries as su
+from fleetgauge.sources import exposition
 
 T0 = 1704067200000
 
@@ -101,7 +102,7 @@ def test_buckets(spark, tmp_path):
 
 def test_unchanged(spark):
     df = spark.createDataFrame([(i, k) for i, k in enumerate("AAAABB")], "t int, key string")
-    rows = se.unchanged_runs(df, "key", "t").orderBy("t").collect()
+    rows = se.unchanged_runs(df.withColumn("s", F.lit(1)), "key", "t", ("s",)).orderBy("t").collect()
     assert [r.unchanged for r in rows] == [0, 1, 2, 3, 0, 1] and [r.paused for r in rows] == [False, False, False, True, False, False]
 
 
@@ -122,5 +123,9 @@ def test_capacity_and_formats(spark):
 
 def test_order_and_split_invariance(g2, listed):
     a = su.node_rows(listed, su.latest(g2)).orderBy("node").collect()
+    assert sorted(map(str, su.latest(g2).collect())) == sorted(map(str, su.latest_nested(exposition.snapshots(g2)).collect()))
+    assert su.latest(g2, 5, T0 + 6).isEmpty() and su.latest_nested(exposition.snapshots(g2), 5, T0 + 6).isEmpty()
+    low = su.node_rows(listed, g2).withColumn("avg_ms", F.when(F.col("node") == "n2", 0.04).otherwise(F.col("avg_ms")))
+    assert su.cluster_rows(low).first().avg_ms == 800.0 and su.cluster_rows(low, None).first().avg_ms == 400.02
     halves = g2.withColumn("value", F.col("value") / 2)
     assert su.node_rows(listed, su.latest(halves.unionByName(halves).repartition(7))).orderBy("node").collect() == a

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import http.server
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,13 +32,16 @@ def parsed(spark, line):
         ("  m 5", ("m", {}, 5.0)),
         ('m{v="a",v="b"} 1', ("m", {"v": "b"}, 1.0)),
         (r'm{v="a\"b"} 1', ("m", {"v": 'a"b'}, 1.0)),
+        (r'm{v="a\\n"} 1', ("m", {"v": "a\\n"}, 1.0)),
+        (r'm{v="a\n\\\"\\"} 1', ("m", {"v": 'a\n\\"\\'}, 1.0)),
+        ('m{v="\x01|"} 1', ("m", {"v": "\x01|"}, 1.0)),
     ],
 )
 def test_lines(spark, line, want):
     assert parsed(spark, line) == [want]
 
 
-@pytest.mark.parametrize("line", ["m foo", "", "   ", "# HELP m x", "m 1_000", "m"])
+@pytest.mark.parametrize("line", ["m foo", "", "   ", "# HELP m x", "m 1_000", "m", "m 1\x01", "m\x011\x01", "\x02m\x011\x01"])
 def test_dropped(spark, line):
     assert parsed(spark, line) == []
 
@@ -48,6 +52,18 @@ def test_nan_and_finite_only(spark):
     assert [r.value for r in exposition.parse(df, finite_only=True).collect()] == [1.0]
 
 
+def test_render_is_the_inverse_of_parse(spark):
+    rows = [("m", {"a": 'x\\n"y\n\\', "b": ""}, 1.5), ("m", {}, float("inf")), ("n", {"c": "}, {"}, -2e-9)]
+    lines = exposition.render(spark.createDataFrame(rows, "metric string, labels map<string,string>, value double"))
+    assert not lines.filter(F.col("value").contains("\n")).count()
+    assert sorted((r.metric, sorted(r.labels.items()), r.value) for r in exposition.parse(lines).collect()) == sorted((m, sorted(x.items()), v) for m, x, v in rows)
+
+
+@pytest.mark.parametrize(("line", "want"), [('m{v="a\\"} 1.5e3 17', [("m", {"v": "a\\"}, 1500.0)]), ("m 1E3", [("m", {}, 1.0)]), (" m 1", []), ("m NaN", []), ("m +Inf", []), ('m{v="}"} 9', []), ("# m 1", []), ("m -.5.", [("m", {}, -0.5)])])
+def test_browser_flavour(spark, line, want):
+    assert [(r.metric, r.labels, r.value) for r in exposition.parse_loose(spark.createDataFrame([(line,)], "value string")).collect()] == want
+
+
 def test_node_lists(spark, tmp_path):
     f = tmp_path / "ips.txt"
     f.write_text("# comment\n192.0.2.1:8080\n192.0.2.2 # spare\n# cluster:ext2\n192.0.2.11:8080\n# cluster:multilingual\n192.0.2.21:8080\n\n")
@@ -71,7 +87,7 @@ def test_documents(spark):
     assert [x.external_ip for x in lists.inventory(inv, "RUNNING").collect()] == ["192.0.2.9"] and lists.inventory(inv).count() == 2
 
 
-def test_live_pull(spark):
+def test_live_pull(spark, tmp_path):
     class Handler(http.server.BaseHTTPRequestHandler):
         def do_GET(self):
             self.send_response(200)
@@ -87,5 +103,13 @@ def test_live_pull(spark):
     spark.dataSource.register(ExpositionSource)
     rows = spark.read.format("exposition").option("nodes", f"{node},127.0.0.1:1").option("timeout", "2").load()
     got = exposition.parse(rows).collect()
+    stream = spark.readStream.format("exposition").option("nodes", node).load()
+    q = exposition.parse(stream).writeStream.format("memory").queryName("pulled").trigger(processingTime="1 second").option("checkpointLocation", str(tmp_path)).start()
+    began = time.monotonic()
+    while time.monotonic() - began < 60 and spark.table("pulled").select("ts_ms").distinct().count() < 2:
+        time.sleep(0.5)
+    q.stop()
     server.shutdown()
+    pulled = spark.table("pulled")
+    assert pulled.select("ts_ms").distinct().count() >= 2 and {r.metric for r in pulled.collect()} == {"tts_requests_total", "up"}
     assert {(r.node, r.metric, r.value) for r in got} == {(node, "tts_requests_total", 3.0), (node, "up", 1.0)}

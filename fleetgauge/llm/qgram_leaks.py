@@ -14,8 +14,9 @@ Scale: documents are read once, where they lie, with no shuffle. The benchmark i
 most BLOCK_BYTES; a larger one is searched block by block. The work grows with the text, not with copies or hot keys.
 
 Cases: null and empty documents match nothing; items with less than LEAST bytes after normalising (null, empty, too
-short to be evidence) match nothing. Rows that repeat a doc_id give a result each. Very long documents are searched
-whole.
+short to be evidence) match nothing. Rows that repeat a doc_id, and ties, give a result each. Very long documents are
+searched whole, part by part, so that a repetitive one holds little in memory. Empty tables give no leak and lose no
+document. Of documents only id and text are read; clean() keeps all columns as they are.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ SPACED = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 MULTIPLIER = U(0x9E3779B97F4A7C15)
 BITS = 22
 BLOCK_BYTES = 8 << 20
+#: Bytes of a document that are searched at a time, and by which the parts overlap.
+PART, OVERLAP = 1 << 14, 512
 
 
 @dataclass(frozen=True)
@@ -99,8 +102,9 @@ class Patterns:
         self.bitmap = np.zeros(1 << BITS, bool)
         self.bitmap[self.gram * MULTIPLIER >> U(64 - BITS)] = True
 
-    def regions(self, raw: bytes) -> list[tuple[int, int, int]]:
-        """(pattern, low, high): bands of diagonals that share enough grams with a pattern, in ascending order of bands."""
+    def regions(self, raw: bytes, done: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+        """(pattern, low, high): bands of diagonals that share enough grams with a pattern, in ascending order of bands.
+        done: texts to leave out."""
         g = grams(raw, self.rules.q)
         at = np.flatnonzero(self.bitmap[g * MULTIPLIER >> U(64 - BITS)])
         if not len(at) or not len(self.gram):
@@ -111,7 +115,8 @@ class Patterns:
         n = self.count[k]
         hit = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
         text, place, at = self.text[hit], self.place[hit], np.repeat(at, n)
-        enough = (np.bincount(text, minlength=len(self.bound)) >= self.bound)[text]
+        enough = np.bincount(text, minlength=len(self.bound)) >= self.bound
+        enough = (enough if done is None else enough & ~done)[text]
         if not enough.any():
             return []
         text, place, at = text[enough], place[enough], at[enough]
@@ -140,44 +145,69 @@ class Patterns:
 
 
 def banded(pattern: bytes, text: bytes, most: int) -> tuple[int, int] | None:
-    """Least edits of pattern against any part of text, and where that part ends; None if over most. Rows of the table
-    are vectors over the text, and only columns within reach of the diagonals 0 .. len(text) - len(pattern) count."""
-    t = np.frombuffer(text, np.uint8)
-    places = np.arange(len(t) + 1)
-    row = np.zeros(len(t) + 1, np.int64)
+    """Least edits of pattern against any part of text, and where that part ends; None if over most. Only a band of
+    diagonals is filled: those on which the pattern can lie within text, and most more on either side, which no alignment
+    within the budget leaves."""
+    t, m, n = np.frombuffer(text, np.uint8), len(pattern), len(text)
+    low, high = -most, max(0, n - m) + most
+    far = m + n + 1
+    diagonal = np.arange(low, high + 1)
+    places = np.arange(len(diagonal))
+    padded = np.full(m + len(diagonal) + 1, -1, np.int16)  # text from low on; -1 outside
+    keep = min(n, len(padded) - most)
+    padded[most : most + keep] = t[:keep]
+    row = np.where((diagonal >= 0) & (diagonal <= n), 0, far)
     for i, c in enumerate(pattern, 1):
-        new = np.empty_like(row)
-        new[0] = i
-        new[1:] = np.minimum(row[:-1] + (t != c), row[1:] + 1)
-        row = np.minimum.accumulate(new - places) + places  # insertions
+        letter = padded[i - 1 : i - 1 + len(diagonal)]  # that of the text at i - 1 + diagonal
+        new = np.where(letter < 0, far, row + (letter != c))
+        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
+        new = np.minimum.accumulate(new - places) + places  # insertions
+        new[diagonal + i > n] = far
+        row = new
         if row.min() > most:
             return None
-    end = int(row.argmin())
-    return (int(row[end]), end) if row[end] <= most else None
+    at = int(row.argmin())
+    return int(row[at]), m + int(diagonal[at])
 
 
 def search(raw: bytes, patterns: Patterns) -> dict:
-    """{item: [windows found, least edits, first start, last stop]} of a normalised document."""
+    """{item: [windows found, least edits, first start, last stop]} of a normalised document. It is read in parts of PART
+    bytes that overlap by more than a window with its edits can span; items whose windows are all found without an edit
+    aren't looked for in later parts, where nothing could be better."""
     found: dict = {}
     best: dict[int, tuple[int, int, int]] = {}
-    for p, low, high in patterns.regions(raw):
-        if p in best and best[p][0] == 0:  # later bands lie further on
+    done = np.zeros(len(patterns.bound), bool)
+    for origin in range(0, max(1, len(raw)), PART):
+        part = raw[origin : origin + PART + OVERLAP]
+        for p, match in hits(part, patterns, done, best, origin):
+            best[p] = min(best.get(p, match), match)
+        if len(raw) > PART and best:
+            exact = np.zeros(len(patterns.raw), np.int64)
+            exact[[p for p, x in best.items() if x[0] == 0]] = 1
+            done = np.add.reduceat(exact, patterns.first_window[:-1]) == np.diff(patterns.first_window)
+            if done.all():
+                break
+    for p, (edits, start, stop) in best.items():
+        x = found.setdefault(patterns.item[p], [0, edits, start, stop])
+        found[patterns.item[p]] = [x[0] + 1, min(x[1], edits), min(x[2], start), max(x[3], stop)]
+    return found
+
+
+def hits(raw: bytes, patterns: Patterns, done: np.ndarray, best: dict, origin: int):
+    """(window, (edits, start, stop)) of a part of a document that starts at origin."""
+    exactly = {p for p, x in best.items() if x[0] == 0}
+    for p, low, high in patterns.regions(raw, done):
+        if p in exactly:  # later bands lie further on
             continue
         w, e = patterns.raw[p], int(patterns.edits[p])
         a = max(0, low - e)
         part = raw[a : max(0, high + len(w) + e)]
         exact = part.find(w)
         if exact >= 0:
-            match = (0, a + exact, a + exact + len(w))
+            exactly.add(p)
+            yield p, (0, origin + a + exact, origin + a + exact + len(w))
         elif (hit := banded(w, part, e)) is not None:
-            match = (hit[0], max(0, a + hit[1] - len(w)), a + hit[1])
-        else:
-            continue
-        best[p] = min(best.get(p, match), match)
-    for p, (edits, start, stop) in best.items():
-        x = found.setdefault(patterns.item[p], [0, edits, start, stop])
-        found[patterns.item[p]] = [x[0] + 1, min(x[1], edits), min(x[2], start), max(x[3], stop)]
-    return found
+            yield p, (hit[0], origin + max(0, a + hit[1] - len(w)), origin + a + hit[1])
 
 
 def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[DataFrame]:

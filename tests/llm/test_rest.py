@@ -171,6 +171,24 @@ def test_leaks(spark, docs_of, monkeypatch):
     assert ql.leaks(docs_of(rows), bench.limit(0)).count() == 0
 
 
+def test_repetitive_and_long_texts():
+    import time
+
+    r = random.Random(6)
+    phrase = prose(r, 3) + " "
+    patterns = ql.Patterns([(1, phrase * 20), (2, prose(r, 40))], ql.LeakRules())
+    raw = ql.normalised(phrase * (320_000 // len(phrase)))
+    began = time.perf_counter()
+    assert list(ql.search(raw, patterns)) == [1]
+    assert time.perf_counter() - began < 20
+    far = ql.normalised(prose(r, 30_000)) + b" " + patterns.raw[-1] + b" " + ql.normalised(prose(r, 100))
+    n, edits, start, stop = ql.search(far, patterns)[2]
+    assert edits == 0 and abs(start - far.index(patterns.raw[-1])) <= 12 and abs(stop - start - 48) <= 12
+    for at in range(ql.PART - 60, ql.PART + 20, 7):  # over the edge of a part
+        n, edits, start, stop = ql.search(b"z" * at + patterns.raw[-1] + b"z" * 900, patterns)[2]
+        assert edits == 0 and abs(start - at) <= 12 and abs(stop - at - 48) <= 12
+
+
 @pytest.mark.parametrize("length", [60, 100, 127, 128, 233, 394])
 def test_partial_copies_at_every_offset(length):
     r = random.Random(length)

@@ -7,9 +7,10 @@ maps each number to a slot. The permutation needs no table, is the same on every
 is a range of ROWS consecutive slots: the sequences go to the task of their shard, which writes them in order, STRIDE * 2
 bytes each, so a reader seeks to any slot with one division.
 
-Scale: one shuffle, of the id rows, each to the shard that one division gives; slots are pseudorandom, so hot sources and
-copies spread evenly and all shards but the last are equally large. A shard is written by one task under a name of its own and
-renamed when complete, so lost and repeated tasks leave whole shards.
+Scale: one shuffle, of compressed ids, each to the shard that one division gives; slots are pseudorandom, so hot sources
+and copies spread evenly and all shards but the last are equally large. A task holds one shard, STRIDE * ROWS * 2 bytes, and
+writes it under a name of its own, renamed when complete, so lost and repeated tasks leave whole shards. The driver sees one
+count per input task.
 
 Cases: null and empty texts are the end id alone. Repeated rows and ties are written each. An empty table gives
 no row and no shard. Documents of any length are cut, one document in memory at a time. Only id and text are read, so
@@ -28,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -128,64 +128,89 @@ def sequences(docs: DataFrame, id_col: str, text_col: str, rules: OrderRules, vo
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def ordered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: OrderRules | None = None, vocabulary: str | None = None) -> tuple[DataFrame, int]:
-    """Rows slot, shard, at (the row's place in its shard), n_tokens, ids_crc32, docs, ids, partitioned by shard and sorted by slot;
-    and their number."""
-    rules = rules or OrderRules()
-    cut = stored(sequences(docs, id_col, text_col, rules, vocabulary), "sequences")
-    counts = stored(cut.groupBy("part").agg(F.count(F.lit(1)).alias("n")), "sequence-counts")  # one row per input task
-    n = counts.agg(F.sum("n")).first()[0] or 0
-    before = counts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
+def starts_of(cut: DataFrame) -> np.ndarray:
+    """starts[p]: how many sequences the tasks before p made; the last entry is their number. One count per input task."""
+    counts = {r.part: r.n for r in cut.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return np.cumsum([0, *(counts.get(p, 0) for p in range(max(counts, default=-1) + 1))])
 
-    @F.pandas_udf("long")
-    def slot_of(number):
-        import pandas as pd
 
-        return pd.Series(permuted(number.to_numpy(), n, rules.key, rules.rounds))
+def numbered(batch: pa.RecordBatch, starts: np.ndarray, rules: OrderRules) -> np.ndarray:
+    """The slots of sequences."""
+    return permuted(starts[batch.column("part").to_numpy()] + batch.column("row").to_numpy(), int(starts[-1]), rules.key, rules.rounds)
 
-    placed = cut.join(F.broadcast(before), "part").withColumn("slot", slot_of(F.col("before") + F.col("row")))
-    placed = placed.select("slot", F.expr(f"cast(slot div {rules.rows} as int)").alias("shard"), F.expr(f"cast(slot % {rules.rows} as int)").alias("at"), "n_tokens", "ids_crc32", "docs", "ids")
-    return placed.repartitionById(max(1, -(-n // rules.rows)), "shard").sortWithinPartitions("slot"), n
 
+def pieces(cut: DataFrame, starts: np.ndarray, rules: OrderRules) -> DataFrame:
+    """(shard, at, ids): of each batch of sequences what belongs to a shard, compressed, and the places there, as little-endian uint32."""
 
-def materialise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: OrderRules | None = None, vocabulary: str | None = None, path: str | None = None) -> tuple[DataFrame, str]:
-    """Write ordered() as raw files <path>/shard-000000.bin. Returns the stored rows without their ids (slot, shard, at,
-    n_tokens, ids_crc32, docs), and the folder; manifest.json there tells stride, rows a shard and number of sequences."""
-    rules = rules or OrderRules()
-    path = path or fresh_path(docs.sparkSession, "training-order")
-    rows, n = ordered(docs, id_col, text_col, rules, vocabulary)
-    index = rows.drop("ids").schema
+    def run(batches):
+        import zstandard
+
+        compressor = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            slot = numbered(batch, starts, rules)
+            order = np.argsort(slot)
+            ids = np.frombuffer(b"".join(x.as_buffer() for x in batch.column("ids")), "<u2").reshape(-1, rules.stride)[order]
+            slot = slot[order]
+            edges = [0, *(np.flatnonzero(np.diff(slot // rules.rows)) + 1), len(slot)]
+            groups = [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([slot[a] // rules.rows for a, _ in groups], pa.int32()), pa.array([(slot[a:b] % rules.rows).astype("<u4").tobytes() for a, b in groups], pa.binary()), pa.array([compressor.compress(ids[a:b].tobytes()) for a, b in groups], pa.binary())],
+                ["shard", "at", "ids"],
+            )
+
+    return cut.select("part", "row", "ids").mapInArrow(run, "shard int, at binary, ids binary")
+
+
+def write_shards(cut: DataFrame, starts: np.ndarray, path: str, rules: OrderRules) -> DataFrame:
+    """(shard, file, first_slot, n_rows), stored: the shards written under path, one task each, which holds one shard."""
+    n = int(starts[-1])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        shards: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for shard, at, raw in zip(*(batch.column(c).to_pylist() for c in ("shard", "at", "ids")), strict=True):
+                if shard not in shards:
+                    shards[shard] = np.zeros((min(rules.rows, n - shard * rules.rows), rules.stride), "<u2")
+                shards[shard][np.frombuffer(at, "<u4")] = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), "<u2").reshape(-1, rules.stride)
         store, base = folder_of(path)
         store.create_dir(base, recursive=True)
-        shard, out, temporary = None, None, ""
+        for shard, ids in shards.items():
+            temporary, name = f"{base}/.{uuid.uuid4().hex}", f"{base}/shard-{shard:06d}.bin"
+            with store.open_output_stream(temporary) as out:
+                out.write(ids.data)
+            store.move(temporary, name)
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [name], "first_slot": pa.array([shard * rules.rows], pa.int64()), "n_rows": pa.array([len(ids)], pa.int64())})
 
-        def close():
-            out.close()
-            store.move(temporary, f"{base}/shard-{shard:06d}.bin")
+    sent = pieces(cut, starts, rules).repartitionById(max(1, -(-n // rules.rows)), "shard")
+    return stored(sent.mapInArrow(run, "shard int, file string, first_slot long, n_rows long"), "training-order")
 
-        for batch in batches:
-            numbers = batch.column("shard").to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1), batch.num_rows]
-            for a, b in zip(edges, edges[1:]):
-                if b > a and numbers[a] != shard:
-                    if out:
-                        close()
-                    shard, temporary = int(numbers[a]), f"{base}/.{uuid.uuid4().hex}"
-                    out = store.open_output_stream(temporary)
-                for raw in batch.column("ids")[a:b]:
-                    out.write(raw.as_buffer())
-            yield batch.drop_columns(["ids"])
-        if out:
-            close()
 
-    written = stored(rows.mapInArrow(run, index), "training-order-index")
+def materialise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: OrderRules | None = None, vocabulary: str | None = None, path: str | None = None) -> tuple[DataFrame, str]:
+    """Write the raw files <path>/shard-000000.bin. Returns what lies where (slot, shard, at, n_tokens, ids_crc32, docs), and
+    the folder; manifest.json there tells stride, rows a shard and number of sequences."""
+    rules = rules or OrderRules()
+    path = path or fresh_path(docs.sparkSession, "training-order")
+    cut = stored(sequences(docs, id_col, text_col, rules, vocabulary), "sequences")
+    starts = starts_of(cut)
+    n = int(starts[-1])
+    whole = write_shards(cut, starts, path, rules).agg(F.sum("n_rows")).first()[0] or 0
+    if whole != n:
+        raise RuntimeError(f"{whole} of {n} sequences are on disk")
     store, base = folder_of(path)
     store.create_dir(base, recursive=True)
     with store.open_output_stream(f"{base}/manifest.json") as f:
         f.write(json.dumps({"sequences": n, "stride": rules.stride, "rows": rules.rows, "key": rules.key, "rounds": rules.rounds}).encode())
-    return written, path
+
+    def run(batches):
+        for batch in batches:
+            slot = numbered(batch, starts, rules)
+            own = [batch.column(c) for c in ("n_tokens", "ids_crc32", "docs")]
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // rules.rows, pa.int32()), pa.array(slot % rules.rows, pa.int32()), *own], ["slot", "shard", "at", "n_tokens", "ids_crc32", "docs"])
+
+    docs_type = cut.schema["docs"].dataType.simpleString()
+    return cut.drop("ids").mapInArrow(run, f"slot long, shard int, at int, n_tokens int, ids_crc32 long, docs {docs_type}"), path
 
 
 def folder_of(path: str):

@@ -10,14 +10,18 @@ the window.
 Before that, two filters lose nothing: a document, then a window, goes on only if it holds a shingle of some template.
 
 Scale: everything up to the matches happens in the row, with no shuffle and no Python; only matches are grouped. The
-templates are a fixed list in this file, or a table given by the caller that is checked to be small.
+templates are a fixed list in this file, or a table given by the caller; more than MOST_TEMPLATES are looked for block by
+block, each in a pass of its own, so that what a task is sent stays small.
 
-Cases: null, empty and short texts (under five words) match nothing. Rows that share a doc_id are one document. Very long
-texts are scanned whole.
+Cases: null, empty and short texts (under five words) match nothing. Rows that share a doc_id, null among them, are one
+document; ties and repeated rows change nothing. Very long texts are scanned whole. Empty tables, of documents or of
+templates, give no row. Only id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,8 +80,6 @@ def prepared(spark: SparkSession, texts: dict[str, str] | DataFrame | None = Non
     """(name, scale, distinct shingles, signature) per template of five words or more."""
     if not isinstance(texts, DataFrame):
         texts = spark.createDataFrame(list((TEMPLATES if texts is None else texts).items()), "template string, text string")
-    if texts.count() > MOST_TEMPLATES:
-        raise ValueError(f"at most {MOST_TEMPLATES} templates can be sent to every task")
     rows = texts.select("template", F.array_distinct(shingles("text")).alias("s")).filter("size(s) > 0")
     return [(r.template, 1 << (len(r.s) - 1).bit_length(), list(r.s), list(r.sig)) for r in rows.withColumn("sig", signature("s")).collect()]
 
@@ -85,6 +87,11 @@ def prepared(spark: SparkSession, texts: dict[str, str] | DataFrame | None = Non
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """(id, template, containment, first_word, n_windows): per document and template found, the best containment, where
     the first window with it starts, and in how many windows it was found."""
+    if isinstance(templates, DataFrame) and (n := -(-templates.count() // MOST_TEMPLATES)) > 1:
+        part = F.pmod(F.xxhash64("template", "text"), F.lit(2 * n))  # blocks differ in size, so twice as many
+        found = [scan(docs, id_col, text_col, templates.filter(part == i)) for i in range(2 * n)]
+        same = functools.reduce(DataFrame.unionByName, found).groupBy(id_col, "template")  # one name may have several texts
+        return same.agg(F.max("containment").alias("containment"), F.min("first_word").alias("first_word"), F.sum("n_windows").alias("n_windows"))
     spark = docs.sparkSession
     known = prepared(spark, templates)
     every = sorted({x for t in known for x in t[2]})

@@ -324,7 +324,7 @@ def contained(rows):
     return out
 
 
-def test_licences(docs_of):
+def test_licences(docs_of, monkeypatch):
     r = random.Random(8)
     rows = [x for x in HARD if x[0] is not None and x[0] != 4]
     for i, (_, text) in enumerate(ls.TEMPLATES.items()):
@@ -337,6 +337,10 @@ def test_licences(docs_of):
     docs = docs_of(rows)
     got = {(x.doc_id, x.template) for x in ls.scan(docs).collect()}
     assert got == contained(rows) and len(got) > 40
+    many = docs.sparkSession.createDataFrame(list(ls.TEMPLATES.items()), "template string, text string")
+    monkeypatch.setattr(ls, "MOST_TEMPLATES", 9)
+    assert sorted(map(tuple, ls.scan(docs, templates=many).collect())) == sorted(map(tuple, ls.scan(docs).collect()))
+    assert ls.scan(docs, templates=many.limit(0)).count() == 0
     plan = ls.scan(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|MapIn", plan)
 

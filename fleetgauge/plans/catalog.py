@@ -384,7 +384,7 @@ def capacity_documents(spark, d):
     return lists.capacity(docs, keep=("s_suppkey",)).select("s_suppkey", "active_calls", "max_calls", "vacant_slots", freq("x"), freq("y"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey * 997 >= 1e6 THEN printf('%.2f', p_partkey * 997 / 1e6) || 'M' WHEN p_partkey * 997 >= 1000 THEN printf('%.1f', p_partkey * 997 / 1e3) || 'K' ELSE CAST(p_partkey * 997 AS VARCHAR) END AS count, format('{:,}', p_partkey * 997) AS thousands, p_partkey // 7 AS sevenths FROM part", common=False)
+@query("SELECT p_partkey, CASE WHEN p_partkey * 997 >= 1e6 THEN (p_partkey * 997 + 5000) // 1000000 || '.' || lpad(CAST((p_partkey * 997 + 5000) // 10000 % 100 AS VARCHAR), 2, '0') || 'M' WHEN p_partkey * 997 >= 1000 THEN (p_partkey * 997 + 50) // 1000 || '.' || (p_partkey * 997 + 50) // 100 % 10 || 'K' ELSE CAST(p_partkey * 997 AS VARCHAR) END AS count, format('{:,}', p_partkey * 997) AS thousands, p_partkey // 7 AS sevenths FROM part", common=False)
 def display_counts(spark, d):
     n = F.col("p_partkey") * 997
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", sc.show_count(n.cast("double")).alias("count"), sc.thousands(n).alias("thousands"), sc.floor_div(F.col("p_partkey"), F.lit(7)).alias("sevenths"))

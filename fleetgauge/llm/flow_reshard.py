@@ -213,11 +213,11 @@ def rewrite(spark: SparkSession, layout: dict[int, str], n_new: int, size_expr:
 
 def _shards(spark: SparkSession, layout: dict[int, str]) -> tuple[DataFrame, str, str, str]:
     """The rows of all shards, and the names of three more columns: file and place, which tell a row, and the shard."""
-    parts = {k: spark.read.parquet(path) for k, path in sorted(layout.items())}
-    taken = spark.createDataFrame([], ", ".join(f"`{c}` int" for c in dict.fromkeys(c for p in parts.values() for c in p.columns)))
-    file, at, old = (unused(taken, x) for x in ("reshard_file", "reshard_at", "reshard_old"))
+    every = spark.read.option("mergeSchema", "true").parquet(*(layout[k] for k in sorted(layout)))  # all footers, in one job
+    parts = {k: spark.read.schema(every.schema).parquet(path) for k, path in sorted(layout.items())}
+    file, at, old = (unused(every, x) for x in ("reshard_file", "reshard_at", "reshard_old"))
     told = [p.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at), F.lit(k).alias(old)) for k, p in parts.items()]
-    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), told), file, at, old
+    return functools.reduce(DataFrame.unionByName, told), file, at, old
 
 
 def read_layout(spark: SparkSession, layout: dict[int, str]) -> DataFrame:
@@ -228,8 +228,8 @@ def read_layout(spark: SparkSession, layout: dict[int, str]) -> DataFrame:
     order = F.row_number().over(W.partitionBy(SHARD).orderBy(file, at)) - 1
     if SLOT not in rows.columns:
         return rows.withColumn(SLOT, order.cast("long")).drop(file, at)
-    done = [k for k, path in layout.items() if SLOT not in spark.read.parquet(path).columns]
-    if not done:
+    bare = [r[0] for r in rows.filter(F.col(SLOT).isNull()).select(SHARD).distinct().collect()]  # one per shard at most
+    if not bare:
         return rows.drop(file, at)
-    plain = rows.filter(F.col(SHARD).isin(done)).withColumn(SLOT, order.cast("long"))
-    return rows.filter(~F.col(SHARD).isin(done)).unionByName(plain).drop(file, at)
+    plain = rows.filter(F.col(SHARD).isin(bare)).withColumn(SLOT, order.cast("long"))
+    return rows.filter(~F.col(SHARD).isin(bare)).unionByName(plain).drop(file, at)

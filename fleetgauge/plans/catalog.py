@@ -390,6 +390,15 @@ def display_counts(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", sc.show_count(n.cast("double")).alias("count"), sc.thousands(n).alias("thousands"), sc.floor_div(F.col("p_partkey"), F.lit(7)).alias("sevenths"))
 
 
+@query("""SELECT s_nationkey, 'const NODES = [' || chr(10) || (SELECT string_agg('  "192.0.2.' || s_suppkey || ':8764",' || chr(10), '' ORDER BY s_suppkey) FROM supplier) || '];' || chr(10) || 'const ZONE = ' || s_nationkey || ';' AS value FROM (SELECT DISTINCT s_nationkey FROM supplier)""", common=False)
+def page_nodes(spark, d):
+    """A page per nation, with an array of two nodes that gives way to all suppliers'."""
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    old = F.lit('const NODES = [\n  "a",\n  "b",\n];\nconst ZONE = ')
+    pages = s.select("s_nationkey").distinct().withColumn("value", F.concat(old, F.col("s_nationkey").cast("string"), F.lit(";")))
+    return lists.with_node_array(pages, s.select(F.col("s_suppkey").alias("line"), F.concat(F.lit("192.0.2."), F.col("s_suppkey").cast("string"), F.lit(":8764")).alias("node")))
+
+
 @query("SELECT '198.51.100.' || s_suppkey AS external_ip FROM supplier WHERE s_acctbal > 0", common=False)
 def inventory_running(spark, d):
     s = spark.read.parquet(f"{d}/supplier.parquet")

@@ -68,3 +68,12 @@ def scrape_config(nodes: DataFrame, job: str = "gpu_nodes", every: str = "15s",
     targets = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "node"))), lambda x: F.concat(F.lit("          - '"), x["node"], F.lit("'"))), "\n")
     head = f"global:\n  scrape_interval: {every}\n  scrape_timeout: {patience}\nscrape_configs:\n  - job_name: '{job}'\n    static_configs:\n      - targets:\n"
     return nodes.agg(F.concat(F.lit(head), targets, F.lit("\n")).alias("value"))
+
+
+def with_node_array(pages: DataFrame, nodes: DataFrame, text: str = "value", name: str = "NODES") -> DataFrame:
+    """pages whose script array of that name holds the nodes, in order of their lines, in place of what it held. The list is a
+    small table by nature; an empty one empties the array."""
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("line", "node"))), lambda x: F.concat(F.lit('  "'), x["node"], F.lit('",\n')))
+    block = nodes.agg(F.concat(F.lit(f"const {name} = [\n"), F.array_join(entries, ""), F.lit("];")).alias("block")).first()[0]
+    quoted = block.replace("\\", "\\\\").replace("$", "\\$")  # in a replacement, $ names a group
+    return pages.withColumn(text, F.regexp_replace(text, rf"(?s)const {name} = \[.*?\];", quoted))

@@ -75,6 +75,12 @@ def test_node_lists(spark, tmp_path):
     assert got(port="always", inline_comments=True)[0][0] == "192.0.2.1:8080:8764"
     text = lists.scrape_config(lists.node_list(lines, inline_comments=True)).first().value
     assert "          - '192.0.2.2:8764'\n" in text and text.startswith("global:")
+    page = spark.createDataFrame([("a\nconst NODES = [\n  \"x\",\n];\nconst ZONES = [1];",), ("no array",), (None,)], "value string")
+    first = lists.node_list(lines, sections="first", inline_comments=True)
+    want = 'a\nconst NODES = [\n  "192.0.2.1:8080",\n  "192.0.2.2:8764",\n];\nconst ZONES = [1];'
+    assert [r.value for r in lists.with_node_array(page, first).collect()] == [want, "no array", None]
+    odd = first.withColumn("node", F.lit("$1\\"))
+    assert lists.with_node_array(page, odd).first().value.count('"$1\\",') == 2 and "[\n];" in lists.with_node_array(page, first.limit(0)).first().value
 
 
 def test_documents(spark):
@@ -113,3 +119,29 @@ def test_live_pull(spark, tmp_path):
     pulled = spark.table("pulled")
     assert pulled.select("ts_ms").distinct().count() >= 2 and {r.metric for r in pulled.collect()} == {"tts_requests_total", "up"}
     assert {(r.node, r.metric, r.value) for r in got} == {(node, "tts_requests_total", 3.0), (node, "up", 1.0)}
+
+
+def test_pull_through_proxy(spark):
+    asked = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            self.send_response(502 if "down" in self.path else 200)
+            self.end_headers()
+            self.wfile.write(f'up{{path="{self.path}"}} 1\n'.encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(ExpositionSource)
+    names = ["192.0.2.1", "192.0.2.2:8080", "down.example", "https://x.example/m?a=b"]
+    rows = spark.read.format("exposition").option("nodes", ",".join(names)).option("proxy", f"http://127.0.0.1:{server.server_port}/proxy").option("per_task", 3).load()
+    assert rows.rdd.getNumPartitions() == 2
+    got = {r.node: r.labels["path"] for r in exposition.parse(rows).collect()}
+    direct = spark.read.format("exposition").option("nodes", f"127.0.0.1:{server.server_port}").option("path", "/down").load()
+    assert [r.value for r in direct.collect()] == ['up{path="/down"} 1']  # a node's own status doesn't matter
+    server.shutdown()
+    assert got == {"192.0.2.1": "/proxy?host=192.0.2.1", "192.0.2.2:8080": "/proxy?host=192.0.2.2:8080", "https://x.example/m?a=b": "/proxy?host=https://x.example/m%3Fa%3Db"}
